@@ -344,7 +344,8 @@ def set_components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 10
     size = member.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     member = stored(member.join(size, "cluster"), f"{name}-blocks")
     key = keyed.withColumnRenamed("doc_id", "d").withColumnRenamed("text_key", "k")
-    found = key.join(member, key.d.eqNullSafe(member.doc_id) & (key.k == member.text_key)).select("sid", "cluster", "n", "blocks", "text")
+    # the members grow with the corpus: both sides are shuffled, whatever the size
+    found = key.hint("merge").join(member, key.d.eqNullSafe(member.doc_id) & (key.k == member.text_key)).select("sid", "cluster", "n", "blocks", "text")
     found = stored(found, f"{name}-texts")
 
     def compare(groups: DataFrame) -> DataFrame:
