@@ -339,7 +339,7 @@ def set_components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 10
     member = clusters(texts, levels, hot, width, num, den, name)
 
     # one row of each set that is in a cluster, and its block
-    sets = rows.where("n > 0").groupBy("sid").agg(F.min(F.struct("doc_id", "text_key")).alias("r"), F.first("n").alias("n"))
+    sets = rows.where("n > 0").groupBy("sid").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("r"), F.first("n").alias("n"))
     member = stored(member.join(sets, "sid").select("sid", "cluster", "n", "r.doc_id", "r.text_key"), f"{name}-members")
     size = member.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     member = stored(member.join(size, "cluster"), f"{name}-blocks")
