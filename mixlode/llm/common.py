@@ -6,7 +6,9 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,17 +34,45 @@ def stored(df: DataFrame, name: str, partition_by: list[str] | None = None) -> D
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Edges that one task unites at the end; more are contracted first.
+FINISH = 500_000
+
+
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, label) of at most FINISH edges, by union-find."""
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for b in batches:
+        for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            parent.setdefault(x, x)
+            parent.setdefault(y, y)
+            x, y = find(x), find(y)
+            parent[max(x, y)] = min(x, y)
+    nodes = list(parent)
+    if nodes:
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], ["node", "label"])
+
+
 def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     """(node, label) for every node of `edges` (a, b): nodes have equal labels when connected.
 
     Contraction: each node points to the neighbour (or itself) of least hash, a
     fresh hash each round; edges move to those, loops and repeats go.  Expected
-    rounds: logarithmic in the longest path.  A label is some node of its component.
+    rounds: logarithmic in the longest path.  At FINISH edges or fewer, a number that
+    no input changes, one task unites the rest.  A label is some node of its component.
     """
     live = stored(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{name}-edges")
+    if (left := live.count()) <= FINISH:
+        return stored(live.repartition(1).mapInArrow(_united, "node long, label long"), f"{name}-united")
     nodes = live.select(F.col("a").alias("node")).union(live.select(F.col("b").alias("node"))).distinct()
     labels, rounds = nodes.withColumn("label", F.col("node")), 0
-    while not live.isEmpty():
+    while left > FINISH:
         rounds += 1
         order = lambda c: F.struct(F.xxhash64(F.lit(rounds), F.col(c)), F.col(c).alias("v"))
         both = live.select("a", "b").union(live.select("b", "a"))
@@ -53,4 +83,6 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
         live = stored(moved.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), f"{name}-edges-{rounds}")
         step = parent.select(F.col("a").alias("label"), "p")
         labels = stored(labels.join(step, "label", "left").select("node", F.coalesce("p", "label").alias("label")), f"{name}-labels-{rounds}")
-    return labels
+        left = live.count()
+    last = stored(live.repartition(1).mapInArrow(_united, "node long, label long"), f"{name}-united").select(F.col("node").alias("label"), F.col("label").alias("p"))
+    return labels.join(last, "label", "left").select("node", F.coalesce("p", "label").alias("label"))
