@@ -18,6 +18,7 @@ table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 from array import array
@@ -32,7 +33,7 @@ from pyspark.sql.window import Window
 from mixlode.llm.common import stored
 
 #: Words that each generation of a worker's memory holds.
-MEMORY = 400_000
+MEMORY = 200_000
 _TWO_BLANKS = re.compile(r"\s\s")
 _encoders: dict[tuple[str, str], Encoder] = {}
 
@@ -49,12 +50,12 @@ class Encoder:
     def __init__(self, json_file: str, rank_file: str) -> None:
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(rank_file, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.library = Tokenizer.from_file(json_file)
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        with open(json_file, encoding="utf-8") as f:
+            self.special = [t["content"] for t in json.load(f)["added_tokens"]]
+        self.json_file, self.library = json_file, None
         self.whole = tiktoken.Encoding("whole", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         # without its look-ahead, which only matters in runs of white space, the splitter is faster
         self.word = tiktoken.Encoding("word", pat_str=public_tokenizers.PATTERN.replace(r"\s+(?!\S)|", ""), mergeable_ranks=ranks, special_tokens={})
@@ -76,6 +77,10 @@ class Encoder:
 
     def text(self, text: str) -> bytes:
         if any(s in text for s in self.special):
+            if self.library is None:  # rarely needed, and large
+                from tokenizers import Tokenizer
+
+                self.library = Tokenizer.from_file(self.json_file)
             return self.packed(self.library.encode(text, add_special_tokens=False).ids)
         if _TWO_BLANKS.search(text):
             return self.packed(self.whole.encode_ordinary(text))
