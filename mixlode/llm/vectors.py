@@ -231,7 +231,10 @@ def near_vectors(table: DataFrame, cosine: float = 0.9, block: int = BLOCK, name
     grid = reps.mapInArrow(_gridded(axes, max(eps, 1e-6), AXES), "node long, mult long, embedding array<double>, dim int, cell array<long>")
     blocks = max(1, -(-total // block))
     ordered = grid.repartitionByRange(blocks, "dim", *[F.col("cell")[i] for i in range(AXES)], "node") if blocks > 1 else grid.coalesce(1)
-    sequence = stored(ordered.withColumn("block", F.spark_partition_id()).sortWithinPartitions("dim", "cell", "node"), f"{name}-sequence")
+    sequence = stored(ordered.withColumn("part", F.spark_partition_id()).sortWithinPartitions("dim", "cell", "node"), f"{name}-sequence")
+    parts = 1 + (sequence.agg(F.max("part")).first()[0] or 0)
+    # runs of partitions make the blocks, however many partitions the sort has made
+    sequence = sequence.withColumn("block", F.floor(F.col("part") * blocks / parts).cast("int")).drop("part")
 
     boxes = sequence.mapInArrow(_boxes(axes), "block int, dim int, low array<double>, high array<double>")
     merged = boxes.groupBy("block", "dim").agg(F.array(*[F.min(F.col("low")[i]) for i in range(AXES)]).alias("low"), F.array(*[F.max(F.col("high")[i]) for i in range(AXES)]).alias("high"))
