@@ -70,7 +70,7 @@ def mixed(rows: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float
     for r, t in zip(per_source, goal, strict=True):
         whole = round(t)
         epochs = min(whole // r["size"], int(cap)) if r["size"] else 0
-        plan.append((r["source"], r["size"], float(t), epochs, whole - epochs * r["size"], max(1, r["n"] // 20_000)))
+        plan.append((r["source"], r["size"], float(t), epochs, whole - epochs * r["size"], max(1, r["n"] // 2_000)))
     plans = spark.createDataFrame(plan, "source string, source_size long, target double, epochs long, rest long, buckets long")
     same = F.col("k.source").eqNullSafe(F.col("p.source"))
     # one row per source: a few hundred bytes each, as many as the mix lists
