@@ -385,3 +385,16 @@ def set_components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 10
 def op3_jaccard_join(spark, sf_dir: str) -> DataFrame:
     """Contract query: components of documents whose 4-word shingle sets reach Jaccard 0.85."""
     return set_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=4, num=85, den=100)
+
+
+#: The same components in SQL.  Texts of equal words are one; a set's pairs are counted by shared shingles.
+SQL = """WITH RECURSIVE d AS (SELECT doc_id, array_to_string(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+'), ' ') AS k FROM documents),
+w AS (SELECT k, row_number() OVER (ORDER BY k) AS t, min(doc_id) AS id, string_split(k, ' ') AS v FROM d WHERE k <> '' GROUP BY k),
+s AS (SELECT DISTINCT t, unnest(list_transform(range(1, greatest(len(v) - 3, 1) + 1), lambda i: array_to_string(v[i:i + 3], ' '))) AS g FROM w),
+n AS (SELECT t, count(*) AS n FROM s GROUP BY t),
+o AS (SELECT a.t AS a, b.t AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.t <> b.t GROUP BY a.t, b.t),
+p AS (SELECT o.a, o.b FROM o JOIN n x ON x.t = o.a JOIN n y ON y.t = o.b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+r AS (SELECT t AS a, t AS b FROM w UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a),
+c AS (SELECT r.a AS t, min(w.id) AS component_id FROM r JOIN w ON w.t = r.b GROUP BY r.a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, CASE WHEN n.n IS NULL THEN d.doc_id ELSE c.component_id END AS component_id
+FROM d LEFT JOIN w ON w.k = d.k LEFT JOIN n ON n.t = w.t LEFT JOIN c ON c.t = w.t"""

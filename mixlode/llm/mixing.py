@@ -1,7 +1,7 @@
 """Mixing sources to target weights by Efraimidis-Spirakis sampling.
 
-Each document gets an exponential key, -ln(u) / weight, with u from a seeded
-hash and the weight its quality.  In a source's key order, sizes are summed up to
+Each document gets an exponential key, -ln(u) / weight, with u from 52 bits of a
+seeded MD5 hash (which other engines have too) and the weight its quality.  In a source's key order, sizes are summed up to
 the token budget that is left after the complete epochs; the document on which
 the budget ends is taken in part, so that sums meet targets within rounding.
 
@@ -59,7 +59,8 @@ def mixed(rows: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float
     all words or none: whole if the budget reaches the document's middle).
     """
     spark = rows.sparkSession
-    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "size"), 11) + 1) / F.lit(float(1 << 53))
+    name_of = F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("size").cast("string"))
+    u = (F.conv(F.substring(F.md5(name_of.cast("binary")), 1, 13), 16, 10).cast("double") + 1) / F.lit(float(1 << 52))
     key = -F.log(u) / F.greatest(F.coalesce("quality", F.lit(1.0)), F.lit(1e-3))
     keyed = stored(rows.select("doc_id", "source", "size", key.alias("key")), f"{name}-keys")
     per_source = keyed.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()
@@ -103,3 +104,16 @@ def op2_mixing(spark, sf_dir: str) -> DataFrame:
     """Contract query: what the mix takes of every document."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     return mixed(with_quality(docs, labels), seed=2).select("doc_id", "size", "source_size", "target", "taken")
+
+
+#: The same mix in SQL.  Sources fill up in the order of size by weight; the first that does not sets the unit of all that follow.
+SQL = r"""WITH q AS (SELECT doc_id, avg(quality) + 0.5 AS quality FROM labels GROUP BY doc_id),
+d AS (SELECT documents.doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size, coalesce(quality, 1.0) AS quality FROM documents LEFT JOIN q USING (doc_id)),
+k AS (SELECT *, -ln((CAST('0x' || substr(md5('2|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || size), 1, 13) AS BIGINT) + 1) / CAST(4503599627370496 AS DOUBLE)) / greatest(quality, 0.001) AS key FROM d),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS n, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS w FROM d GROUP BY source),
+f AS (SELECT *, row_number() OVER o AS i, 1.5 * sum(n) OVER () - 2.0 * (sum(n) OVER o - n) AS free, sum(w) OVER () - (sum(w) OVER o - w) AS weights FROM s WINDOW o AS (ORDER BY n / w, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
+u AS (SELECT *, CAST(free AS DOUBLE) / weights AS unit, min(CASE WHEN CAST(free AS DOUBLE) / weights * w > 2 * n THEN NULL ELSE i END) OVER () AS stop FROM f),
+t AS (SELECT source, n, CASE WHEN stop IS NULL OR i < stop THEN CAST(2 * n AS DOUBLE) ELSE max(CASE WHEN i = stop THEN unit END) OVER () * w END AS target FROM u),
+e AS (SELECT *, CAST(round_even(target, 0) AS BIGINT) AS whole, CASE WHEN n = 0 THEN 0 ELSE least(CAST(round_even(target, 0) AS BIGINT) // n, 2) END AS epochs FROM t),
+a AS (SELECT k.doc_id, k.size, e.n, e.target, e.epochs, e.whole - e.epochs * e.n AS rest, sum(k.size) OVER (PARTITION BY k.source ORDER BY k.key, k.doc_id, k.size ROWS UNBOUNDED PRECEDING) - k.size AS start FROM k JOIN e ON k.source IS NOT DISTINCT FROM e.source)
+SELECT doc_id, size, n AS source_size, target, CAST(epochs * size + greatest(0, least(size, rest - start)) AS BIGINT) AS taken FROM a"""

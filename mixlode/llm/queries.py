@@ -11,4 +11,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_warc": warc.SQL, "op9_embedding_dedup": vectors.SQL, "op10_licenses": licenses.sql()}
+    return {"op2_mixing": mixing.SQL, "op3_jaccard_join": jaccard.SQL, "op8_warc": warc.SQL, "op9_embedding_dedup": vectors.SQL, "op10_licenses": licenses.sql()}

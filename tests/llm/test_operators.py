@@ -381,3 +381,16 @@ def test_against_sql(spark, name):
     cols = sorted(got.columns)
     want = con.execute(f"SELECT {', '.join(cols)} FROM ({queries.oracle_sql()[name]})").fetchall()
     assert sorted(map(tuple, got.select(*cols).collect()), key=str) == sorted(want, key=str)
+
+
+def test_sql_on_odd_rows(spark, odd):
+    import duckdb
+
+    con = duckdb.connect()
+    plain = odd.where("doc_id is not null").dropDuplicates(["doc_id"]).select("doc_id", "text", "source")
+    con.register("documents", pa.Table.from_pylist([r.asDict() for r in plain.collect()], pa.schema({"doc_id": pa.int64(), "text": pa.string(), "source": pa.string()})))
+    con.register("labels", pa.table({"doc_id": [1, 1, 4, 99], "quality": [1, 0, 1, 1]}))
+    labels = spark.createDataFrame([(1, 1), (1, 0), (4, 1), (99, 1)], "doc_id long, quality int")
+    mix = mixing.mixed(mixing.with_quality(plain, labels), seed=2).select("doc_id", "size", "source_size", "target", "taken")
+    for got, sql in ((mix, mixing.SQL), (jaccard.set_components(plain, 4, 85, 100), jaccard.SQL)):
+        assert sorted(rows(got)) == sorted(con.execute(f"SELECT {', '.join(got.columns)} FROM ({sql})").fetchall())
