@@ -20,19 +20,31 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest id of each group (five words, Jaccard 0.8)."""
-    found = stored(jaccard.set_components(docs, width=5, num=80, den=100, name="pipeline-jaccard"), "pipeline-groups")
-    drop = found.where("not doc_id <=> component_id").select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(drop, docs.doc_id.eqNullSafe(drop["__id"]), "left_anti")
-    repeats = found.groupBy("doc_id").count().where("count > 1")
-    return kept if repeats.isEmpty() else kept.dropDuplicates()  # rows that repeat an id are one document
+    """Keeps the document of smallest id of each group (five words, Jaccard 0.8).
+
+    A document is known by its id and its text's hash, so that null ids, and rows that
+    repeat an id with another text, stand for themselves.  Rows equal in both are one
+    document; texts without words are in no group and all stay.
+    """
+    found = jaccard.first_of_component(docs, width=5, num=80, den=100, name="pipeline-jaccard").where("n_shingles > 0")
+    found = stored(found, "pipeline-groups")
+    drop = found.where("not (doc_id <=> component_id and text_key = component_key)").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__text")).distinct()
+    marked = docs.withColumn("__key", F.xxhash64("text"))
+    kept = marked.join(drop, marked.doc_id.eqNullSafe(drop["__id"]) & (marked["__key"] == drop["__text"]), "left_anti")
+    repeats = found.where("doc_id <=> component_id and text_key = component_key").groupBy("doc_id", "text_key").count().where("count > 1")
+    if not repeats.isEmpty():
+        worded = F.coalesce(F.col("text").rlike(mixing.WORD), F.lit(False))
+        kept = kept.where(worded).dropDuplicates(["doc_id", "__key"]).unionByName(kept.where(~worded))
+    return kept.drop("__key")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats each document as often as the mix takes it; the last, partial pass takes it whole from its middle on."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     taken = mixing.mixed(mixing.with_quality(docs, labels), seed=2, name="pipeline-mix", cut=False)
-    times = taken.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), (F.col("epochs") + (F.col("part") > 0).cast("long")).alias("__times")).distinct()
+    # rows equal in id, source and size are one lot of the mix, taken alike
+    lots = taken.groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"))
+    times = lots.agg(F.max(F.col("epochs") + (F.col("part") > 0).cast("long")).alias("__times"))
     same = docs.doc_id.eqNullSafe(times["__id"]) & docs.source.eqNullSafe(times["__source"]) & (mixing.n_words(docs.text) == times["__size"])
     return docs.join(times, same).where("__times > 0").withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int")))).select(*docs.columns)
 

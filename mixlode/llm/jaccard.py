@@ -329,8 +329,12 @@ def _compared(width: int, num: int, den: int) -> Callable:
     return run
 
 
-def set_components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, name: str = "jaccard") -> DataFrame:
-    """One row for each row of docs (doc_id, text): doc_id, n_shingles, component_id."""
+def first_of_component(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, name: str = "jaccard") -> DataFrame:
+    """One row for each row of docs (doc_id, text): doc_id, text_key, n_shingles, component_id, component_key.
+
+    text_key is the text's hash; component_id and component_key name the component's
+    first row: that of smallest id (null last), then of smallest text_key.
+    """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     keyed = texts.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
     summary = stored(keyed.mapInArrow(_summaries(width), "id long, text_key long, n long, sid long, cells binary"), f"{name}-sets")
@@ -375,11 +379,20 @@ def set_components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 10
         edges = edges.union(second).union(stored(compare(meet), f"{name}-links-3"))
 
     label = components(edges, f"{name}-components").withColumnRenamed("node", "sid")
-    named = sets.select("sid", "r.doc_id").join(label, "sid", "left").select("sid", "doc_id", F.coalesce("label", "sid").alias("label"))
-    least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    by_set = named.join(least, "label").select("sid", "component_id")
+    named = sets.select("sid", "r").join(label, "sid", "left").select("sid", "r", F.coalesce("label", "sid").alias("label"))
+    first = named.groupBy("label").agg(F.min("r").alias("first"))
+    by_set = named.join(first, "label").select("sid", F.col("first.doc_id").alias("first_id"), F.col("first.text_key").alias("first_key"))
     out = rows.join(by_set, "sid", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    own = F.col("n") == 0
+    return out.select(
+        "doc_id", "text_key", F.col("n").alias("n_shingles"), F.when(own, F.col("doc_id")).otherwise(F.col("first_id")).alias("component_id"),
+        F.when(own, F.col("text_key")).otherwise(F.col("first_key")).alias("component_key"),
+    )
+
+
+def set_components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, name: str = "jaccard") -> DataFrame:
+    """One row for each row of docs (doc_id, text): doc_id, n_shingles, component_id."""
+    return first_of_component(docs, width, num, den, name).select("doc_id", "n_shingles", "component_id")
 
 
 def op3_jaccard_join(spark, sf_dir: str) -> DataFrame:

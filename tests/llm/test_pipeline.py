@@ -35,5 +35,15 @@ def test_odd_rows(spark):
     assert sorted(r.doc_id for r in pipeline.near_duplicates(spark, group, SF).collect()) == sorted(set(components))
 
 
+def test_rows_without_own_id(spark):
+    a, b, c = "one two three four five six", "the other text has seven words here", "and a third one that stands alone"
+    docs = make_docs(spark, [(1, a, "en", "s"), (None, a, "en", "s"), (None, b, "en", "s"), (None, b, "fr", "s"), (2, c, "en", "s"), (2, a, "en", "s"), (2, None, None, "s"), (2, None, None, "s")])
+    kept = pipeline.near_duplicates(spark, docs, SF)
+    assert kept.columns == docs.columns and sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(1, a), (None, b), (2, c), (2, None), (2, None)], key=str)
+    lot = make_docs(spark, [(5, a, "en", "s")] * 3 + [(i, b, "en", "s") for i in range(6, 12)])
+    counts = {r.doc_id: r["count"] for r in pipeline.mix(spark, lot, SF).groupBy("doc_id").count().collect()}
+    assert counts[5] in (3, 6) and all(n in (1, 2) for i, n in counts.items() if i != 5)
+
+
 def test_run(spark):
     check_packed(pipeline.run(spark, SF).collect(), 2048)
