@@ -38,6 +38,8 @@ SAMPLE = 4096
 AXES = 8
 #: Intervals up to this long are compared without further splitting.
 LEAF = 512
+#: Tasks that share the pairs of blocks, at most; a task streams its pairs one by one.
+PAIR_TASKS = 50_000
 #: Room for rounding in projections and boxes.
 SLACK = 1e-9
 
@@ -239,11 +241,12 @@ def near_vectors(table: DataFrame, cosine: float = 0.9, block: int = BLOCK, name
     boxes = sequence.mapInArrow(_boxes(axes), "block int, dim int, low array<double>, high array<double>")
     merged = boxes.groupBy("block", "dim").agg(F.array(*[F.min(F.col("low")[i]) for i in range(AXES)]).alias("low"), F.array(*[F.max(F.col("high")[i]) for i in range(AXES)]).alias("high"))
     box = merged.collect()  # one small row for each BLOCK vectors and length
-    partner = _partners(box, eps)
-    near = F.create_map(*[x for b, p in partner.items() for x in (F.lit(b), F.array(*[F.lit(q) for q in p]))]) if partner and len(partner) <= 64 else None
-    with_partner = sequence.withColumn("p", F.explode(near[F.col("block")])) if near is not None else _by_table(sequence, partner)
-    pairs = with_partner.select(F.least("block", "p").alias("i"), F.greatest("block", "p").alias("j"), "block", "node", "mult", "embedding", "dim", "cell")
-    sent = pairs.repartition(max(1, sum(map(len, partner.values())) // 2 + 1), "i", "j").sortWithinPartitions("i", "j", "block", "dim", "cell", "node").drop("cell")
+    # the list of near pairs may grow with the square of the blocks: tasks make it, and it stays a table
+    names = sequence.sparkSession.createDataFrame([(b,) for b in sorted({r["block"] for r in box})], "block int")
+    near = stored(names.repartition(max(1, min(len(box), 1000)), "block").mapInArrow(_partners(box, eps), "block int, p int"), f"{name}-near")
+    n_pairs = near.where("block <= p").count()
+    pairs = sequence.join(near, "block").select(F.least("block", "p").alias("i"), F.greatest("block", "p").alias("j"), "block", "node", "mult", "embedding", "dim", "cell")
+    sent = pairs.repartition(max(1, min(n_pairs, PAIR_TASKS)), "i", "j").sortWithinPartitions("i", "j", "block", "dim", "cell", "node").drop("cell")
     found = stored(sent.mapInArrow(_block_join(axes, cosine, eps, AXES), "node long, links long, root long"), f"{name}-links")
 
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
@@ -276,23 +279,25 @@ def _boxes(axes: dict[int, np.ndarray]) -> Callable:
     return run
 
 
-def _partners(box: list, eps: float) -> dict[int, list[int]]:
-    """For each block, the blocks (itself included) that are not provably distant."""
-    out: dict[int, set[int]] = {r["block"]: {r["block"]} for r in box}
+def _partners(box: list, eps: float) -> Callable:
+    """Streams blocks; yields with each the blocks (itself included) that are not provably distant."""
+    dims = {}
     for dim in {r["dim"] for r in box}:
-        rows = [r for r in box if r["dim"] == dim]
-        low, high = np.array([r["low"] for r in rows]), np.array([r["high"] for r in rows])
-        for i, r in enumerate(rows):
-            gap = np.maximum(0, np.maximum(low - high[i], low[i] - high))
-            near = np.flatnonzero((gap * gap).sum(axis=1) <= (eps + SLACK) ** 2)
-            out[r["block"]].update(rows[int(x)]["block"] for x in near)
-    return {b: sorted(p) for b, p in out.items()}
-
-
-def _by_table(sequence: DataFrame, partner: dict[int, list[int]]) -> DataFrame:
-    """The same as the map of literals, as a join, for many blocks."""
-    rows = [(b, q) for b, p in partner.items() for q in p]
-    return sequence.join(sequence.sparkSession.createDataFrame(rows, "block int, p int"), "block")
+        of = [r for r in box if r["dim"] == dim]
+        dims[dim] = tuple(np.array([r[c] for r in of]) for c in ("block", "low", "high"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for block in b.column(0).to_pylist():
+                found = [np.array([block])]
+                for blocks, low, high in dims.values():
+                    for i in np.flatnonzero(blocks == block):
+                        gap = np.maximum(0, np.maximum(low - high[i], low[i] - high))
+                        found.append(blocks[(gap * gap).sum(axis=1) <= (eps + SLACK) ** 2])
+                p = np.unique(np.concatenate(found))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(p), block), pa.int32()), pa.array(p, pa.int32())], ["block", "p"])
+
+    return run
 
 
 def op9_embedding_dedup(spark, sf_dir: str) -> DataFrame:
