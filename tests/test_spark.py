@@ -142,6 +142,22 @@ def test_against_sql(spark, name):
     assert key(got.select(*cols).collect()) == key(want)
 
 
+def test_local_step_sees_every_row(spark, tmp_path):
+    def run(name, balances):
+        rows = [(i, float(b)) for i, b in enumerate(balances)]
+        spark.createDataFrame(rows, "c_custkey long, c_acctbal double").repartition(3).write.parquet(str(tmp_path / name / "customer.parquet"))
+        return [tuple(r) for r in catalogue.step_local(spark, str(tmp_path / name)).orderBy("component").collect()]
+
+    balances = 8000 * np.random.default_rng(5).random(1003)
+    balances[-1] = 9000.0
+    got = run("all", balances)
+    same_rate = catalogue.GradientAscent(shrinkage=1.0)
+    far = GradientMixture.from_params([0.5, 0.5], [[2.0], [6.0]], [[[5.0]], [[5.0]]], optimizer=same_rate, max_iter=8).step(local_points(spark, balances[:, None] / 1000))
+    assert np.allclose(got, [tuple(r) for r in catalogue.state_frame(spark, far.state).orderBy("component").collect()], atol=2e-6)
+    balances[-1] = -9000.0  # the largest key counts
+    assert not np.allclose(got, run("last", balances), atol=2e-6)
+
+
 def test_contract(spark):
     assert entry.entry(spark).count() == 1
     assert set(entry.oracle_sql()) <= set(entry.queries())
