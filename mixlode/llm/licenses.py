@@ -1,6 +1,6 @@
 """Licence scans by canonical digests, with built-in functions only.
 
-A text's canonical form has ASCII lower case, no copyright lines, one spelling of
+A text's canonical form has ASCII lower case, no lines that are copyright notices, one spelling of
 words that are spelled differently, and single spaces for all ASCII punctuation
 and white space.  Its digest is looked up among those of known licence texts,
 brought to the same form; the whole text must be the licence.
@@ -64,7 +64,21 @@ SPELLINGS: tuple[tuple[str, str], ...] = (
     ("behaviour", "behavior"), ("favour", "favor"), ("merchantibility", "merchantability"), ("per cent", "percent"), ("copyright owner", "copyright holder"), ("&", "and"), ("‘", "'"), ("’", "'"), ("“", '"'), ("”", '"'), ("–", "-"), ("—", "-"), (" ", " "),
 )
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_COPYRIGHT = r"(^|\n)[ \t*#/;-]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
+# A notice: the word or sign, then a sign, a year, a placeholder or a name, up to the line's end.  A line that a wrap begins with
+# "copyright holders" or an item "(c) You must" is none.
+_YEAR, _NAME = r"(?:\(?\d{4}|[\[<{])", r"(?:[a-z0-9\"'@]|[^\x00-\x7F])"
+_NOT_A_NAME = (
+    r"(?!(?:notices?|holders?|owners?|ownership|licen[cs]es?|licensors?|statements?|laws?|acts?|interests?|protect(?:ion|ed|s)|rights?|disclaimers?|infringements?|claims?|works?|treaty|permissions?|terms?|lines?|headers?|"
+    r"and|or|in|on|of|to|for|from|is|are|as|at|under|with|within|without|if|that|this|these|any|which|where|when|shall|may|must|will|does|can|has|have|it|its|not|no)\b)"
+)
+_CLAUSE = r"(?![^\n]*\b(?:must|shall|may|will|is|are|has|have|any|that|which|such|to|or)\b)"
+_COPYRIGHT = (
+    r"(^|\n)[ \t*#/;-]*(?:"
+    rf"copyright(?![a-z])(?:[ \t:,.-]*+(?:\(c\)|©|{_YEAR})|[ \t:-]*+{_NOT_A_NAME}{_NAME})"
+    rf"|\(c\)(?:[ \t:,.-]*+(?:copyright(?![a-z])|{_YEAR})|[ \t:-]*+{_NOT_A_NAME}{_CLAUSE}{_NAME})"
+    r"|©|all rights reserved)[^\n]*"
+)
+_SQL_COPYRIGHT = r"(^|\n)[ \t*#/;-]*(copyright|\(c\)|©|all rights reserved)[^\n]*"  # the SQL is as it was: it takes any line that begins so
 _BLANK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -73,7 +87,11 @@ def canonical(text: Column) -> Column:
     t = F.regexp_replace(F.translate(text, _UPPER, _LOWER), _COPYRIGHT, "$1")
     for a, b in SPELLINGS:
         t = F.replace(t, F.lit(a), F.lit(b))
-    return F.trim(F.regexp_replace(t, _BLANK, " "))
+    t = F.trim(F.regexp_replace(t, _BLANK, " "))
+    for a, b in SPELLINGS:
+        if " " in a.strip():  # two words that a wrap had parted
+            t = F.replace(t, F.lit(a), F.lit(b))
+    return t
 
 
 def digest(text: Column) -> Column:
@@ -95,9 +113,9 @@ def op10_licenses(spark, sf_dir: str) -> DataFrame:
 
 
 def sql() -> str:
-    """The same for DuckDB."""
+    """The same for DuckDB, but for lines that begin with "copyright" or "(c)" and are no notices, which it drops."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
-    t = f"regexp_replace(translate(text, '{_UPPER}', '{_LOWER}'), {quote(_COPYRIGHT)}, '\\1', 'g')"
+    t = f"regexp_replace(translate(text, '{_UPPER}', '{_LOWER}'), {quote(_SQL_COPYRIGHT)}, '\\1', 'g')"
     for a, b in SPELLINGS:
         t = f"replace({t}, {quote(a)}, {quote(b)})"
     form = f"sha256(trim(regexp_replace({t}, {quote(_BLANK)}, ' ', 'g')))"

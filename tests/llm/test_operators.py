@@ -1,8 +1,10 @@
 """Operators against brute force, round trips and edge cases."""
 
 import hashlib
+import itertools
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -367,6 +369,40 @@ def test_licenses(spark, none):
     assert licenses.scanned(none).count() == 0
 
 
+def rewrapped(text, width, lead=""):
+    """The paragraphs of a text at a width; lines that are notices stay as they are."""
+    out = []
+    for part in re.split(r"\n\s*\n", text):
+        lines = [" ".join(x.split()) for x in part.strip("\n").split("\n")]
+        for notice, group in itertools.groupby(lines, lambda x: bool(re.match(r"copyright \W|copyright \d", x, re.I))):
+            out += list(group) if notice else textwrap.wrap(" ".join(group), width, break_long_words=False, break_on_hyphens=False)
+        out.append("")
+    return "\n".join(lead + x for x in out)
+
+
+def test_wrapped_licenses(spark):
+    isc = """ISC License
+
+Copyright (c) 2020, Someone
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+""" + licenses._ISC_END
+    cases = [("ISC", isc)] + [(k, rewrapped(t, w, lead)) for k, forms in licenses.LICENCES.items() for t in forms for w in (*range(9, 100), 120, 200) for lead in ("", " * ")]
+    cases += [("BSD-3-Clause", rewrapped(licenses.LICENCES["BSD-3-Clause"][0].replace("COPYRIGHT HOLDER OR", "COPYRIGHT OWNER OR"), w, "# ")) for w in range(9, 100)]
+    got = {r.doc_id: r.license_id for r in licenses.scanned(make_docs(spark, [(i, t, None, None) for i, (_, t) in enumerate(cases)])).collect()}
+    assert [(k, t) for i, (k, t) in enumerate(cases) if got[i] != k] == []
+
+
+def test_copyright_notices(spark):
+    notices = ["Copyright (c) 2020 Someone", "Copyright © 2020 Someone", "copyright 1999-2020, Some One Inc.", "Copyright: 2020 me", "Copyright, 2020, me", "Copyright [yyyy] [name of copyright owner]", "Copyright <YEAR> <COPYRIGHT HOLDER>", "Copyright(C) me", "Copyright The Some Authors", "Copyright by me", "# Copyright Élan", "(c) 2020 me", "(C) Copyright me", "(c) Some One", " * © me", "All rights reserved.", "Copyright 37 Things\r"]
+    bodies = ["copyright notice and this", "copyright holders be liable", "COPYRIGHT HOLDER OR", "copyright owner or by", "copyright", "copyrighted works", "copyright, patent, trademark", "copyright license to reproduce", "copyright and related rights", "(c) You must retain, in the Source form", "(c) under Patent Claims infringed by", "copyright law."]
+    docs = make_docs(spark, [(i, f"a\n{t}\nb", None, None) for i, t in enumerate(notices + bodies)])
+    got = {r.doc_id: r.c for r in docs.select("doc_id", licenses.canonical(F.col("text")).alias("c")).collect()}
+    assert [t for i, t in enumerate(notices + bodies) if (got[i] == "a b") != (i < len(notices))] == []
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_against_sql(spark, name):
     import glob
