@@ -63,15 +63,31 @@ SPELLINGS: tuple[tuple[str, str], ...] = (
     ("licence", "license"), ("sub-license", "sublicense"), ("non-infringement", "noninfringement"), ("http:", "https:"), ("organisation", "organization"), ("acknowledgement", "acknowledgment"), ("authorisation", "authorization"), ("analogue", "analog"),
     ("behaviour", "behavior"), ("favour", "favor"), ("merchantibility", "merchantability"), ("per cent", "percent"), ("copyright owner", "copyright holder"), ("&", "and"), ("‘", "'"), ("’", "'"), ("“", '"'), ("”", '"'), ("–", "-"), ("—", "-"), (" ", " "),
 )
+#: Canonical digests of full texts, of the copies in /usr/share/common-licenses; the second is of the text up to END OF TERMS AND CONDITIONS.
+DIGESTS: dict[str, list[str]] = {
+    "Apache-2.0": ["4a6318c7afd8feed8c4463ea5ae0f2f609d433928a8b17f31104c8e7743de2c5", "b93faad605f4e5d56d92cb01789c993887913c893e441b2305b4f880a9cead93"],
+    "BSD-3-Clause": ["21ce5e311a0ef74591e636cf6d0a236029bcaa0ee86324ac68d5748657aa8651"],
+    "CC0-1.0": ["96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"],
+    "GFDL-1.2": ["1c057ea35084eb195331cec1a49fca335c176422a7726a9a23636906fd4e241f"],
+    "GFDL-1.3": ["7e8edd3abe6258bb82bb853d91a0c24fcd9976894fd0592747354cffe1cb18e7"],
+    "GPL-1.0": ["8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224", "6375a768fd262bf5281905a9585411d2d0fb4ea15cb08cfcba49f73fedb82abc"],
+    "GPL-2.0": ["efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821", "e1270b653c300290e7c039142bccb8776f9b5d14e8a05bc4e87dc7d1614a3b34"],
+    "GPL-3.0": ["a8cd54d6683aa630f0b8d05d56184ad91dc486756da2df61c94d3e4e8d5ecb68", "ac6b52d57c0104e687039148f7b8e370e04c9bb5705bb786f8ef814eb65e8636"],
+    "LGPL-2.0": ["61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908", "504542bce5421b0f5a7e63ddb55443ccb300b27a65ba6bfc1370fed16a3af260"],
+    "LGPL-2.1": ["4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891", "48d2010e70a815a564f914b0c7c1e80d7a6843793348fed3684c957112fe0aa4"],
+    "LGPL-3.0": ["aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"],
+    "MPL-1.1": ["3f0343dd4f3b064be36e0c6584737c9b7bb5c322721694563f9009e088ce96d1"],
+    "MPL-2.0": ["4019e4c8fe9ede57c538b37b3332dc097a88c163e273bb6905d38316e63c2eb6"],
+}
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # A notice: the word or sign, then a sign, a year, a placeholder or a name, up to the line's end.  A line that a wrap begins with
 # "copyright holders" or an item "(c) You must" is none.
 _YEAR, _NAME = r"(?:\(?\d{4}|[\[<{])", r"(?:[a-z0-9\"'@]|[^\x00-\x7F])"
 _NOT_A_NAME = (
-    r"(?!(?:notices?|holders?|owners?|ownership|licen[cs]es?|licensors?|statements?|laws?|acts?|interests?|protect(?:ion|ed|s)|rights?|disclaimers?|infringements?|claims?|works?|treaty|permissions?|terms?|lines?|headers?|"
-    r"and|or|in|on|of|to|for|from|is|are|as|at|under|with|within|without|if|that|this|these|any|which|where|when|shall|may|must|will|does|can|has|have|it|its|not|no)\b)"
+    r"(?!(?:notices?|holders?|owners?|ownership|licen[cs]es?|licensors?|statements?|laws?|acts?|interests?|protect(?:ion|ed|s)|rights?|disclaimers?|infringements?|claims?|works?|treaty|permissions?|terms?|lines?|headers?|doctrines?|representations|resulting|notwithstanding|the (?:software|library|program|works?|licen[cs]es?)|"
+    r"and|or|in|on|of|to|for|from|is|are|as|at(?!&)|under|with|within|without|if|that|this|these|any|which|where|when|shall|must|(?:may|will) (?:be|not|have|apply)|does|can|has|have|it|its|not|no)\b)"
 )
-_CLAUSE = r"(?![^\n]*\b(?:must|shall|may|will|is|are|has|have|any|that|which|such|to|or)\b)"
+_CLAUSE = r"(?![^\n]*\b(?:must|shall|(?:may|will) (?:be|not|have|apply)|is|are|has|have|any|that|which|such|to|or(?! (?:its|their)\b))\b)"
 _COPYRIGHT = (
     r"(^|\n)[ \t*#/;-]*(?:"
     rf"copyright(?![a-z])(?:[ \t:,.-]*+(?:\(c\)|©|{_YEAR})|[ \t:-]*+{_NOT_A_NAME}{_NAME})"
@@ -98,13 +114,14 @@ def digest(text: Column) -> Column:
     return F.sha2(canonical(text), 256)
 
 
-def scanned(docs: DataFrame, texts: dict[str, list[str]] = LICENCES) -> DataFrame:
+def scanned(docs: DataFrame, texts: dict[str, list[str]] = LICENCES, digests: dict[str, list[str]] = DIGESTS) -> DataFrame:
     """doc_id, digest of the canonical text, license_id (null: none of the known licences)."""
     rows = [(name, t) for name, forms in texts.items() for t in forms]
-    known = docs.sparkSession.createDataFrame(rows, "license_id string, text string")
-    known = known.groupBy(digest(F.col("text")).alias("digest")).agg(F.min("license_id").alias("license_id"))
+    known = docs.sparkSession.createDataFrame(rows, "license_id string, text string").select("license_id", digest(F.col("text")).alias("digest"))
+    full = docs.sparkSession.createDataFrame([(name, d) for name, forms in digests.items() for d in forms], "license_id string, digest string")
+    known = known.unionByName(full).groupBy("digest").agg(F.min("license_id").alias("license_id"))
     found = docs.select("doc_id", digest(F.col("text")).alias("digest"))
-    return found.join(F.broadcast(known), "digest", "left").select("doc_id", "digest", "license_id")  # as many rows as LICENCES has forms
+    return found.join(F.broadcast(known), "digest", "left").select("doc_id", "digest", "license_id")  # as many rows as LICENCES and DIGESTS have forms
 
 
 def op10_licenses(spark, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import random
 import re
 import textwrap
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -395,9 +396,23 @@ copyright notice and this permission notice appear in all copies.
     assert [(k, t) for i, (k, t) in enumerate(cases) if got[i] != k] == []
 
 
+def test_full_licenses(spark):
+    files = {"Apache-2.0": "Apache-2.0", "BSD-3-Clause": "BSD", "CC0-1.0": "CC0-1.0", "GFDL-1.2": "GFDL-1.2", "GFDL-1.3": "GFDL-1.3", "GPL-1.0": "GPL-1", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-2.0": "LGPL-2", "LGPL-2.1": "LGPL-2.1", "LGPL-3.0": "LGPL-3", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0"}
+    assert set(files) == set(licenses.DIGESTS)
+    cases, end = [], "END OF TERMS AND CONDITIONS"
+    for name, file in files.items():
+        text = Path("/usr/share/common-licenses", file).read_text()
+        for form in (text, *([text.split(end)[0] + end] if end in text else [])):
+            widths = () if name == "MPL-1.1" else (*range(40, 100), 120, 200)  # its Exhibit A has a notice to fill in within a sentence
+            cases += [(name, form), *((name, rewrapped(form, w)) for w in widths)]
+        cases.append((None, text + " Besides, more holds."))
+    got = {r.doc_id: r.license_id for r in licenses.scanned(make_docs(spark, [(i, t, None, None) for i, (_, t) in enumerate(cases)])).collect()}
+    assert [(k, t) for i, (k, t) in enumerate(cases) if got[i] != k] == []
+
+
 def test_copyright_notices(spark):
-    notices = ["Copyright (c) 2020 Someone", "Copyright © 2020 Someone", "copyright 1999-2020, Some One Inc.", "Copyright: 2020 me", "Copyright, 2020, me", "Copyright [yyyy] [name of copyright owner]", "Copyright <YEAR> <COPYRIGHT HOLDER>", "Copyright(C) me", "Copyright The Some Authors", "Copyright by me", "# Copyright Élan", "(c) 2020 me", "(C) Copyright me", "(c) Some One", " * © me", "All rights reserved.", "Copyright 37 Things\r"]
-    bodies = ["copyright notice and this", "copyright holders be liable", "COPYRIGHT HOLDER OR", "copyright owner or by", "copyright", "copyrighted works", "copyright, patent, trademark", "copyright license to reproduce", "copyright and related rights", "(c) You must retain, in the Source form", "(c) under Patent Claims infringed by", "copyright law."]
+    notices = ["Copyright (c) 2020 Someone", "Copyright © 2020 Someone", "copyright 1999-2020, Some One Inc.", "Copyright: 2020 me", "Copyright, 2020, me", "Copyright [yyyy] [name of copyright owner]", "Copyright <YEAR> <COPYRIGHT HOLDER>", "Copyright(C) me", "Copyright The Some Authors", "Copyright by me", "# Copyright Élan", "(c) 2020 me", "(C) Copyright me", "(c) Some One", "(c) Some One, Inc. or its affiliates", "Copyright Will Someone", "(c) May Someone", "Copyright AT&T", " * © me", "All rights reserved.", "Copyright 37 Things\r"]
+    bodies = ["copyright notice and this", "copyright holders be liable", "COPYRIGHT HOLDER OR", "copyright owner or by", "copyright", "copyrighted works", "copyright, patent, trademark", "copyright license to reproduce", "copyright and related rights", "(c) You must retain, in the Source form", "(c) under Patent Claims infringed by", "copyright law.", "copyright will not apply"]
     docs = make_docs(spark, [(i, f"a\n{t}\nb", None, None) for i, t in enumerate(notices + bodies)])
     got = {r.doc_id: r.c for r in docs.select("doc_id", licenses.canonical(F.col("text")).alias("c")).collect()}
     assert [t for i, t in enumerate(notices + bodies) if (got[i] == "a b") != (i < len(notices))] == []
