@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import math
 from abc import ABC, abstractmethod
 from dataclasses import dataclass, field
@@ -11,6 +12,9 @@ import numpy as np
 from mixlode.functions.gaussian import Component
 
 
+log = logging.getLogger("mixlode.prior")
+
+
 class Regularizer(ABC):
     """Extension point for other penalties."""
 
@@ -80,6 +84,7 @@ class ConjugatePrior(Regularizer):
         block = np.block([[cov + edge @ mean[None, :], edge], [edge.T, np.array([[kappa]])]])
         for name, value in (("df", df), ("mean", mean), ("cov", cov), ("dirichlet", alpha), ("kappa", kappa), ("block", block)):
             object.__setattr__(self, name, value)
+        log.info("prior of %d components in %d dimensions: df %g, kappa %g, Dirichlet %g", self.k, self.dim, df, kappa, alpha)
 
     def component_gradient(self, c):
         return 0.5 * (self.block - self.kappa * c.block())

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mixlode.operators.scoring import joint, joint_local
+from mixlode.operators.scoring import checked, joint, joint_local
 
 
 @dataclass(frozen=True)
@@ -48,16 +48,18 @@ def fold(x: np.ndarray, weights, components) -> Stats:
 
 
 def suffstats(df: DataFrame, weights, components, features: str = "features") -> DataFrame:
-    """One row: n, loss, resp_j, wgrad_j and the upper triangle outer_j_ab (1-based)."""
+    """One row: n, loss, resp_j, wgrad_j and the upper triangle outer_j_ab (1-based); points that are not usable raise an error."""
     k, d = len(components), components[0].dim
-    q = df.select(features, F.array(*joint(weights, components, True, features)).alias("q"))
-    total = reduce(add, [F.col("q")[j] for j in range(k)])
-    rows = q.select(F.log(total).alias("l"), F.transform("q", lambda v: v / total).alias("r"), F.concat(F.col(features), F.array(F.lit(1.0))).alias("y"))
-    r, y = F.col("r"), F.col("y")
+    points = df.select(checked(features, d).alias("x"))
+    q = points.select("x", *[c.alias(f"q{j}") for j, c in enumerate(joint(weights, components, True, "x"))])
+    total = reduce(add, [F.col(f"q{j}") for j in range(k)])
+    rows = q.select("x", F.log(total).alias("l"), *[(F.col(f"q{j}") / total).alias(f"r{j}") for j in range(k)])
+    y = [*[F.get(F.col("x"), F.lit(i)) for i in range(d)], F.lit(1.0)]
     sums = [F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("l"), F.lit(0.0)).alias("loss")]
     for j in range(k):
-        sums += [F.sum(r[j]).alias(f"resp_{j + 1}"), F.sum(r[j] - F.lit(float(weights[j]))).alias(f"wgrad_{j + 1}")]
-        sums += [F.sum(r[j] * y[a] * y[b]).alias(f"outer_{j + 1}_{a + 1}{b + 1}") for a in range(d + 1) for b in range(a, d + 1)]
+        r = F.col(f"r{j}")
+        sums += [F.sum(r).alias(f"resp_{j + 1}"), F.sum(r - F.lit(float(weights[j]))).alias(f"wgrad_{j + 1}")]
+        sums += [F.sum(r * y[a] * y[b]).alias(f"outer_{j + 1}_{a + 1}{b + 1}") for a in range(d + 1) for b in range(a, d + 1)]
     return rows.agg(*sums)
 
 
@@ -65,16 +67,12 @@ _PARTIAL = "n long, loss double, cells array<double>"
 
 
 def _points(column: pa.Array, dim: int) -> np.ndarray:
-    if column.null_count:
-        raise ValueError("points must not be null")
     flat = column.flatten()
     lengths = np.diff(column.offsets.to_numpy())
-    if flat.null_count or (lengths != dim).any():
-        raise ValueError(f"every point must have {dim} non-null elements")
-    x = flat.to_numpy(zero_copy_only=False).astype(float).reshape(-1, dim)
-    if not np.isfinite(x).all():
-        raise ValueError("points must be finite")
-    return x
+    x = flat.to_numpy(zero_copy_only=False).astype(float)  # nulls become NaN
+    if column.null_count or (lengths != dim).any() or not np.isfinite(x).all():
+        raise ValueError(f"every point must have {dim} finite elements")
+    return x.reshape(-1, dim)
 
 
 def gather(df: DataFrame, weights, components, features: str = "features") -> Stats:

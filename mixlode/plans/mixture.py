@@ -87,9 +87,25 @@ def update(state: MixtureState, stats: Stats, optimizer: Optimizer, regularizer:
     return replace(state, weights=weights, components=tuple(components), slots=tuple(slots), weights_slot=weights_slot, clock=clock + 1, loss=value), value
 
 
+#: What a setting must be, whenever it is assigned.
+_SETTINGS = {
+    "max_iter": (lambda v: v > 0, "max_iter must be positive"),
+    "tol": (lambda v: v > 0, "tol must be positive"),
+    "batch_size": (lambda v: v is None or v > 0, "batch_size must be positive"),
+    "empty_retries": (lambda v: v >= 0, "empty_retries must not be negative"),
+    "optimizer": (lambda v: isinstance(v, Optimizer), "optimizer must be an Optimizer"),
+    "regularizer": (lambda v: v is None or isinstance(v, Regularizer), "regularizer must be a Regularizer"),
+}
+
+
 @dataclass
 class GradientMixture:
-    """Settings plus the current state.  `history` has (iter, n, avg_loss, seconds) of the steps so far."""
+    """Settings plus the current state.
+
+    `history` has (iter, n, avg_loss, seconds) of the steps so far, and with `trace`
+    set `trajectory` has the weights and components before each of them.  `sample_keys`:
+    columns whose hash decides which rows a batch samples, see take_batch.
+    """
 
     state: MixtureState
     optimizer: Optimizer = field(default_factory=GradientAscent)
@@ -100,11 +116,24 @@ class GradientMixture:
     sampling_seed: int = 0
     features: str = "features"
     empty_retries: int = 20
+    sample_keys: tuple[str, ...] = ()
+    trace: bool = False
     history: list[tuple[int, int, float, float]] = field(default_factory=list)
-
-    def __post_init__(self) -> None:
-        if not self.max_iter > 0 or not self.tol > 0 or (self.batch_size is not None and not self.batch_size > 0):
-            raise ValueError("max_iter, tol and batch_size must be positive")
+    trajectory: list[tuple[np.ndarray, tuple[Component, ...]]] = field(default_factory=list)
+
+    def __setattr__(self, name: str, value) -> None:
+        ok, message = _SETTINGS.get(name, (None, ""))
+        if ok and not ok(value):
+            raise ValueError(message)
+        switched = name == "optimizer" and "state" in self.__dict__ and type(self.__dict__.get(name, value)) is not type(value)
+        super().__setattr__(name, value)
+        if switched:  # what one rule remembers means nothing to another
+            self.reset_optimizer()
+
+    def reset_optimizer(self) -> GradientMixture:
+        """Forgets momentum, accelerator slots and the clock."""
+        self.state = replace(self.state, slots=(), weights_slot=None, clock=0)
+        return self
 
     # -- construction ------------------------------------------------------
     @classmethod
@@ -116,7 +145,7 @@ class GradientMixture:
     @classmethod
     def init(cls, df: DataFrame, k: int, points_per_cluster: int = 50, kmeans_iter: int = 20, kmeans_tries: int = 1, seed: int = 0, **settings) -> GradientMixture:
         """Seeded by k-means on a sample."""
-        weights, components = kmeans_seed(df, k, points_per_cluster, kmeans_iter, kmeans_tries, seed, settings.get("features", "features"))
+        weights, components = kmeans_seed(df, k, points_per_cluster, kmeans_iter, kmeans_tries, seed, settings.get("features", "features"), settings.get("sample_keys", ()))
         return cls(MixtureState(weights, tuple(components)), **settings)
 
     @classmethod
@@ -144,7 +173,7 @@ class GradientMixture:
     # -- training ----------------------------------------------------------
     def step(self, df: DataFrame) -> GradientMixture:
         """Up to max_iter ascent iterations on a DataFrame; empty input changes nothing."""
-        data = df.select(self.features).persist()
+        data = df.select(self.features, *self.sample_keys).persist()
         try:
             total = data.count()
             if not total:
@@ -154,7 +183,7 @@ class GradientMixture:
             while iteration < self.max_iter and abs(new - old) > self.tol:
                 began = time.time()
                 s = self.state
-                stats = gather(take_batch(data, fraction, self.sampling_seed + s.batches), s.weights, s.components, self.features)
+                stats = gather(take_batch(data, fraction, self.sampling_seed + s.batches, self.sample_keys), s.weights, s.components, self.features)
                 self.state = s = replace(s, batches=s.batches + 1)
                 if not stats.n:
                     empty += 1
@@ -162,6 +191,7 @@ class GradientMixture:
                         raise RuntimeError("samples stay empty; raise batch_size")
                     continue
                 old = new
+                self._traced()
                 self.state, new = update(s, stats, self.optimizer, self.regularizer, rate)
                 rate = self.optimizer.shrunk(rate)
                 iteration += 1
@@ -172,6 +202,11 @@ class GradientMixture:
         finally:
             data.unpersist()
 
+    def _traced(self) -> None:
+        if self.trace:
+            self.trajectory.append((self.weights, self.components))
+            log.debug("weights %s, means %s", self.weights.tolist(), [c.mu.tolist() for c in self.components])
+
     def step_local(self, points, shrink: bool = False) -> GradientMixture:
         """The same on a driver-side (n, d) array, in shuffled whole batches without Spark.
 
@@ -192,6 +227,7 @@ class GradientMixture:
                     return self
                 began = time.time()
                 s = self.state
+                self._traced()
                 self.state, value = update(replace(s, batches=s.batches + 1), fold(x[order[i * b : (i + 1) * b]], s.weights, s.components), self.optimizer, self.regularizer, rate)
                 rate = self.optimizer.shrunk(rate) if shrink else rate
                 done += 1
@@ -224,6 +260,11 @@ class GradientMixture:
     def history_frame(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame([(i, n, float(v), s) for i, n, v, s in self.history], "iter int, n bigint, avg_loss double, seconds double")
 
+    def trajectory_frame(self, spark: SparkSession) -> DataFrame:
+        """The parameters before each traced iteration, a row for each component."""
+        rows = [(i, j, float(w), c.s, c.mu.tolist(), c.sigma.tolist()) for i, (weights, comps) in enumerate(self.trajectory) for j, (w, c) in enumerate(zip(weights, comps, strict=True))]
+        return spark.createDataFrame(rows, "iter int, component int, weight double, s double, mu array<double>, sigma array<array<double>>")
+
     def to_spark_gmm(self, spark: SparkSession):
         """A pyspark.ml GaussianMixtureModel with these parameters (s is dropped)."""
         from pyspark.ml.clustering import GaussianMixtureModel

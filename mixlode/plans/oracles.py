@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from mixlode.functions.optimizers import Adam, Adamax, Momentum, Nesterov, Optimizer
+from mixlode.functions.optimizers import Adam, Adamax, GradientAscent, Momentum, Nesterov, Optimizer
 from mixlode.functions.regularizers import ConjugatePrior, LogBarrier
 from mixlode.functions.transforms import RatioTransform
+from mixlode.operators.sampling import UNIFORM_BITS
 from mixlode.plans import queries as Q
 
 PI = "pi()"
@@ -71,6 +72,14 @@ class _Ascent:
                 cols.append(f"{p!r}::DOUBLE AS P{j}_{a}{b}")
         self.ctes.append(f"s0 AS MATERIALIZED (SELECT {', '.join(cols)})")
 
+    def start_from(self, ctes: list[str], table: str) -> None:
+        """Starts from a one-row table of w{j}, m{j}_{a} and c{j}_{a}{b}."""
+        cols = []
+        for j in range(2):
+            mu = [*[f"m{j}_{a}" for a in range(self.d)], "1.0::DOUBLE"]
+            cols += [f"w{j}", *[f"{mu[a]} * {mu[b]}" + (f" + c{j}_{a}{b}" if b < self.d else "") + f" AS P{j}_{a}{b}" for a, b in self.cells]]
+        self.ctes += [*ctes, f"s0 AS MATERIALIZED (SELECT {', '.join(cols)} FROM {table})"]
+
     def _density(self, j: int) -> str:
         d = self.d
         s = f"P{j}_{d}{d}"
@@ -195,6 +204,102 @@ def _events() -> str:
     return f"SELECT event_id, round(p1, 6) AS p1, round(p2, 6) AS p2, {_HARD} AS prediction FROM (SELECT event_id, q1 / (q1 + q2) AS p1, q2 / (q1 + q2) AS p2 FROM (SELECT event_id, {q[0]} AS q1, {q[1]} AS q2 FROM events))"
 
 
+def _uniform(text: str, first: int) -> str:
+    return f"((CAST('0x' || substr(md5({text}), 1, {UNIFORM_BITS // 4}) AS BIGINT) + {first}) / {float(1 << UNIFORM_BITS)!r})"
+
+
+def _keyed(seed: str) -> str:
+    keys = ["CAST(round(l_extendedprice * 100) AS BIGINT)" if k == "cents" else k for k in Q.KEYS]
+    return f"{seed} || '|' || {' || chr(124) || '.join(keys)}"
+
+
+def _kmeans(k: int, n: int, iterations: int = 20, seed: int = 0) -> list[str]:
+    """CTEs that end with seeded (one row): w{j}, m{j}_{a}, c{j}_{a}{b} of k clusters of n sampled rows."""
+    near = lambda centers: "least(" + ", ".join(f"(x1 - {a}) * (x1 - {a}) + (x2 - {b}) * (x2 - {b})" for a, b in centers) + ")"
+    order = _keyed(f"'{seed}'")
+    ctes = [f"x AS MATERIALIZED (SELECT x1, x2, row_number() OVER (ORDER BY h) - 1 AS i FROM (SELECT l_quantity AS x1, l_extendedprice / 1000 AS x2, md5({order}) AS h FROM lineitem) ORDER BY h LIMIT {n})"]
+    for j in range(k):
+        race = f"-ln({_uniform(f"'{seed}|{j}|' || i", 1)})"
+        if j:
+            d = near([(f"a{i}", f"b{i}") for i in range(j)])
+            ctes.append(f"d{j} AS MATERIALIZED (SELECT d{j - 1}.*, x1 AS a{j}, x2 AS b{j} FROM x, d{j - 1} WHERE {d} > 0 ORDER BY {race} / {d}, i LIMIT 1)")
+        else:
+            ctes.append(f"d0 AS MATERIALIZED (SELECT x1 AS a0, x2 AS b0 FROM x ORDER BY {race}, i LIMIT 1)")
+    dist = [f"((x1 - a{j}) * (x1 - a{j}) + (x2 - b{j}) * (x2 - b{j}))" for j in range(k)]
+    label = "CASE " + " ".join(f"WHEN {dist[j]} <= least({', '.join(dist)}) THEN {j}" for j in range(k)) + " END"
+    last = f"d{k - 1}"
+    for t in range(iterations):
+        cols = ", ".join(f"coalesce(avg(x1) FILTER (l = {j}), any_value(a{j})) AS a{j}, coalesce(avg(x2) FILTER (l = {j}), any_value(b{j})) AS b{j}" for j in range(k))
+        ctes.append(f"l{t} AS MATERIALIZED (SELECT {cols} FROM (SELECT *, {label} AS l FROM x, {last}))")
+        last = f"l{t}"
+    seen = " UNION ALL ".join(["SELECT x1, x2 FROM x", *[f"SELECT a{j}, b{j} FROM {last}" for j in range(k)]])
+    ctes.append(f"g AS MATERIALIZED (SELECT *, {label} AS l FROM (SELECT e.x1, e.x2, {last}.* FROM ({seen}) e(x1, x2), {last}))")
+    cols = []
+    for j in range(k):
+        cell = lambda u, v, j=j: f"sum({u} * {v}) FILTER (l = {j}) / count(*) FILTER (l = {j})"
+        u, v = f"(x1 - a{j})", f"(x2 - b{j})"
+        ridge = f"greatest(1e-4, {cell(u, u)} + {cell(v, v)}) / 2"
+        cols += [f"count(*) FILTER (l = {j}) / count(*)::DOUBLE AS w{j}", f"any_value(a{j}) AS m{j}_0", f"any_value(b{j}) AS m{j}_1"]
+        cols += [f"{cell(u, u)} + {ridge} AS c{j}_00", f"{cell(u, v)} AS c{j}_01", f"{cell(v, v)} + {ridge} AS c{j}_11"]
+    return [*ctes, f"seeded AS MATERIALIZED (SELECT {', '.join(cols)} FROM g)"]
+
+
+def _kmeans_init() -> str:
+    cols = ("w{j}", "1.0::DOUBLE", "m{j}_0", "m{j}_1", "c{j}_00", "c{j}_01", "c{j}_11")
+    names = ("weight", "s", "mu_1", "mu_2", "sigma_11", "sigma_12", "sigma_22")
+    parts = [f"SELECT CAST({j} AS INTEGER) AS component, {', '.join(f'round({c.format(j=j)}, 6) AS {n}' for c, n in zip(cols, names, strict=True))} FROM seeded" for j in range(3)]
+    return f"WITH {', '.join(_kmeans(3, 300))} {' UNION ALL '.join(parts)}"
+
+
+def _fit_lineitem() -> str:
+    a = _Ascent(2, GradientAscent())
+    a.start_from(_kmeans(2, 200), "seeded")
+    for t in range(3):
+        a.iterate(t, POINTS)
+    return a.sql(3)
+
+
+def _minibatch() -> str:
+    a = _Ascent(2, Momentum())
+    a.start(Q.WEIGHTS, Q.MEANS, Q.COVS, (1.0, 1.0))
+    fraction = f"(SELECT least(1.0, greatest({Q.BATCH}, count(*) * (1 - exp(ln(1e-3) / count(*)))) / count(*)) FROM lineitem)"
+    for t in range(5):
+        batch = _keyed(f"'{t}'")
+        a.iterate(t, f"SELECT l_quantity AS x1, l_extendedprice / 1000 AS x2 FROM lineitem WHERE {_uniform(batch, 0)} < {fraction}")
+    return a.sql(5)
+
+
+def _step_local() -> str:
+    a = _Ascent(1, GradientAscent(shrinkage=1.0))  # the local ascent keeps its rate
+    a.start(Q.BALANCE_WEIGHTS, [[m] for m in Q.BALANCE_MEANS], [[[v]] for v in Q.BALANCE_VARS], (1.0, 1.0))
+    for t in range(8):
+        a.iterate(t, "SELECT c_acctbal / 1000 AS x1 FROM customer")
+    return a.sql(8)
+
+
+def _trajectory() -> str:
+    a = _Ascent(2, GradientAscent())
+    a.start(Q.WEIGHTS, Q.MEANS, Q.COVS, (1.0, 1.0))
+    for t in range(3):
+        a.iterate(t, POINTS)
+    parts = [f"SELECT CAST({t} AS INTEGER) AS iter, CAST({j} AS INTEGER) AS component, round(w{j}, 6) AS weight, round(P{j}_22, 6) AS s, round(P{j}_02 / P{j}_22, 6) AS mu_1, round(P{j}_12 / P{j}_22, 6) AS mu_2, round(P{j}_01 - P{j}_02 * P{j}_12 / P{j}_22, 6) AS sigma_12 FROM s{t}" for t in range(3) for j in range(2)]
+    return f"WITH {', '.join(a.ctes)} {' UNION ALL '.join(parts)}"
+
+
+def _singles() -> str:
+    points = f"SELECT 0 AS l_orderkey, 0 AS l_linenumber, x1, x2 FROM (VALUES {', '.join(f'({a}::DOUBLE, {b}::DOUBLE)' for a, b in Q.SINGLES)}) v(x1, x2)"
+    q = [_clamp(f"{w}::DOUBLE * exp({_logpdf(m, c)})") for w, m, c in zip(Q.WEIGHTS, Q.MEANS, Q.COVS, strict=True)]
+    soft = f"SELECT x1, x2, q1 / (q1 + q2) AS p1, q2 / (q1 + q2) AS p2 FROM (SELECT *, {q[0]} AS q1, {q[1]} AS q2 FROM ({points}))"
+    return f"SELECT x1, x2, round(p1, 6) AS p1, round(p2, 6) AS p2, {_HARD} AS prediction, {_HARD} AS in_table FROM ({soft})"
+
+
+def _scalars() -> str:
+    rows = []
+    for j, (((a, b), (_, c)), m) in enumerate(zip(Q.COVS, Q.HALVE, strict=True)):
+        rows.append(f"SELECT CAST({j} AS INTEGER) AS component, round(({a} * {c} - {b} * {b})::DOUBLE, 6) AS det, round(ln(({a} * {c} - {b} * {b})::DOUBLE), 6) AS log_det, round(power(0.5::DOUBLE, 1.0::DOUBLE / {m}), 6) AS shrinkage, round(0.5::DOUBLE * power(0.5::DOUBLE, 1.0::DOUBLE / {m}), 6) AS next_rate")
+    return " UNION ALL ".join(rows)
+
+
 def oracle_sql() -> dict[str, str]:
     soft = _soft(POINTS)
     far = "SELECT l_orderkey, l_linenumber, l_quantity + 1e6 AS x1, l_extendedprice - 1e9 AS x2 FROM lineitem"
@@ -212,4 +317,7 @@ def oracle_sql() -> dict[str, str]:
         "stream_train_events": _stream_train(),
         "stream_predict_events": _events(),
         "export_spark_gmm": f"SELECT l_orderkey, l_linenumber, round(p1, 6) AS p1, {_HARD} AS prediction, true AS agrees FROM ({soft})",
+        "predict_odd_points": f"SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber BETWEEN 2 AND 7 THEN NULL ELSE round(p1, 6) END AS p1, CASE WHEN l_linenumber BETWEEN 2 AND 7 THEN NULL ELSE round(p2, 6) END AS p2, CASE WHEN l_linenumber BETWEEN 2 AND 7 THEN NULL ELSE {_HARD} END AS prediction FROM ({soft})",
+        "text_points": "SELECT l_quantity AS x1, count(*) AS n, round(sum(l_extendedprice), 2) AS x2 FROM lineitem GROUP BY 1",
+        "kmeans_init": _kmeans_init(), "fit_lineitem": _fit_lineitem(), "step_minibatch": _minibatch(), "step_local": _step_local(), "trajectory_ga_3": _trajectory(), "predict_singles": _singles(), "component_scalars": _scalars(),
     } | {name: _step(*how) for name, how in Q.STEPS.items()}

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -18,7 +17,7 @@ from mixlode.operators.sampling import group_stats, kmeans_seed
 from mixlode.operators.scoring import concave_pdf, label_of, logpdf, with_prediction, with_probability
 from mixlode.operators.suffstats import suffstats
 from mixlode.plans.mixture import GradientMixture, MixtureState
-from mixlode.sources.features import table, with_features
+from mixlode.sources.features import local_points, read_points, table, with_features
 from mixlode.streaming.online import OnlineMixture
 
 #: The fixed two-component model of (l_quantity, l_extendedprice / 1000).
@@ -44,6 +43,17 @@ def lineitem_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_features(li, "l_quantity", F.col("l_extendedprice") / 1000)
 
 
+#: What tells the rows of lineitem apart: samples by hash read it.
+KEYS = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "cents")
+
+
+def keyed_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lineitem_points with KEYS."""
+    cents = F.round(F.col("l_extendedprice") * 100).cast("long").alias("cents")
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", cents, "l_quantity", "l_extendedprice")
+    return with_features(li, "l_quantity", F.col("l_extendedprice") / 1000)
+
+
 def r6(c) -> F.Column:
     return F.round(c, 6)
 
@@ -161,12 +171,9 @@ def event_model(**settings) -> GradientMixture:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder that driver and executors share: under spark.checkpoint.dir, or a temporary one where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="mixlode-")
-    return f"{root}/{name}-{os.getpid()}-{next(_counter)}"
-
-
-_counter = iter(range(1 << 62))
+    """A fresh folder that driver and executors share: under spark.checkpoint.dir, or in the warehouse where that is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{root}/mixlode-{name}-{uuid.uuid4().hex}"
 
 
 def stream_train_events(spark, sf_dir):
@@ -207,20 +214,36 @@ def export_spark_gmm(spark, sf_dir):
 
 
 def kmeans_init(spark, sf_dir):
-    weights, comps = kmeans_seed(lineitem_points(spark, sf_dir), 3, 100)
+    """Seeding from 300 rows, chosen by the hash of their keys."""
+    weights, comps = kmeans_seed(keyed_points(spark, sf_dir), 3, 100, keys=KEYS)
     return state_frame(spark, MixtureState(weights, tuple(comps)))
 
 
+def fit_lineitem(spark, sf_dir):
+    """Seeding, then three iterations over all rows."""
+    model = GradientMixture.fit(keyed_points(spark, sf_dir), 2, points_per_cluster=100, sample_keys=KEYS, max_iter=3, tol=1e-300)
+    return state_frame(spark, model.state)
+
+
 def fit_embeddings(spark, sf_dir):
     df = with_features(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "embedding").where(F.col("features").isNotNull())
-    model = GradientMixture.fit(df, 3, kmeans_iter=5, optimizer=Nesterov(), max_iter=3)
+    model = GradientMixture.fit(df, 3, kmeans_iter=5, optimizer=Nesterov(), max_iter=3, sample_keys=("vec_id",))
     p = model.predict(df)
     return p.groupBy("prediction").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Rows that a batch of step_minibatch has on average.
+BATCH = 500
+
+
 def step_minibatch(spark, sf_dir):
-    model = GradientMixture(MixtureState(np.array(WEIGHTS), components()), Momentum(), batch_size=500, max_iter=5, tol=1e-300)
-    return state_frame(spark, model.step(lineitem_points(spark, sf_dir)).state)
+    """Five iterations, each over the rows whose hash falls into its batch."""
+    model = GradientMixture(MixtureState(np.array(WEIGHTS), components()), Momentum(), batch_size=BATCH, max_iter=5, tol=1e-300, sample_keys=KEYS)
+    return state_frame(spark, model.step(keyed_points(spark, sf_dir)).state)
+
+
+#: The fixed one-dimensional model of customer balances in thousands.
+BALANCE_WEIGHTS, BALANCE_MEANS, BALANCE_VARS = (0.5, 0.5), (2.0, 6.0), (5.0, 5.0)
 
 
 def step_local(spark, sf_dir):
@@ -230,13 +253,71 @@ def step_local(spark, sf_dir):
     """
     df = with_features(table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_acctbal") / 1000).alias("b")), "b")
     points = df.select(F.col("features")[0].alias("b")).toArrow()["b"].to_numpy().reshape(-1, 1)
-    model = GradientMixture.from_params([0.5, 0.5], [[2.0], [6.0]], [[[5.0]], [[5.0]]], max_iter=8)
+    model = GradientMixture.from_params(BALANCE_WEIGHTS, [[m] for m in BALANCE_MEANS], [[[v]] for v in BALANCE_VARS], max_iter=8, tol=1e-300)
     return state_frame(spark, model.step_local(points).state)
 
 
+def predict_odd_points(spark, sf_dir):
+    """Points that are null, short, long, or hold a null, NaN or infinite element have null results."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
+    x, y = F.col("l_quantity"), F.col("l_extendedprice") / 1000
+    odd = [F.lit(None).cast("array<double>"), F.array(x), F.array(x, y, x), F.array(x, F.lit(None).cast("double")), F.array(F.lit(float("nan")), y), F.array(x, F.lit(float("inf")))]
+    features = F.array(x, y)
+    for i, point in enumerate(odd):
+        features = F.when(F.col("l_linenumber") == i + 2, point).otherwise(features)
+    p = with_probability(li.withColumn("features", features), WEIGHTS, components())
+    return p.select("l_orderkey", "l_linenumber", r6(F.col("probability")[0]).alias("p1"), r6(F.col("probability")[1]).alias("p2"), label_of().alias("prediction"))
+
+
+def text_points(spark, sf_dir):
+    """All points written as lines of text and read back."""
+    path = shared_folder(spark, "text")
+    table(spark, sf_dir, "lineitem").select(F.concat_ws(" ; ", "l_quantity", "l_extendedprice")).write.text(path)
+    p = read_points(spark, path, ";").select(F.col("features")[0].alias("x1"), F.col("features")[1].alias("x2"))
+    return p.groupBy("x1").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("x2"), 2).alias("x2"))
+
+
+#: Points that are scored one by one on the driver, and as a local collection.
+SINGLES = ((14.0, 30.0), (36.5, 71.0), (25.0, 52.0), (1.0, 90.0), (-1e6, 1e6))
+
+
+def predict_singles(spark, sf_dir):
+    """Single vectors on the driver, beside the same points as a table made from a local collection."""
+    model = GradientMixture(MixtureState(np.array(WEIGHTS), components()))
+    alone = [(*p, *[round(float(v), 6) for v in model.predict_soft(np.array(p))], model.predict(np.array(p))) for p in SINGLES]
+    alone = spark.createDataFrame(alone, "x1 double, x2 double, p1 double, p2 double, prediction int")
+    together = model.predict(local_points(spark, SINGLES)).select(F.col("features")[0].alias("x1"), F.col("features")[1].alias("x2"), F.col("prediction").alias("in_table"))
+    return alone.join(together, ["x1", "x2"])
+
+
+def component_scalars(spark, sf_dir):
+    """Determinants of components made from Spark's own types, and shrinkages that halve a rate every so many iterations."""
+    from pyspark.ml.linalg import DenseMatrix, DenseVector
+    from pyspark.ml.stat import MultivariateGaussian
+
+    rows = []
+    for j, (m, c) in enumerate(zip(MEANS, COVS, strict=True)):
+        own = Component.from_spark(MultivariateGaussian(DenseVector(m), DenseMatrix(2, 2, [v for row in c for v in row])))
+        rate = GradientAscent().halve_every(HALVE[j])
+        rows.append((j, round(own.det, 6), round(own.log_det, 6), round(rate.shrinkage, 6), round(rate.shrunk(0.5), 6)))
+    return spark.createDataFrame(rows, "component int, det double, log_det double, shrinkage double, next_rate double")
+
+
+#: Iterations in which a rate halves.
+HALVE = (5, 40)
+
+
+def trajectory_ga_3(spark, sf_dir):
+    """The parameters before each of three iterations."""
+    model = GradientMixture(MixtureState(np.array(WEIGHTS), components()), max_iter=3, tol=1e-300, trace=True)
+    t = model.step(lineitem_points(spark, sf_dir)).trajectory_frame(spark)
+    return t.select("iter", "component", r6("weight").alias("weight"), r6("s").alias("s"), r6(F.col("mu")[0]).alias("mu_1"), r6(F.col("mu")[1]).alias("mu_2"), r6(F.col("sigma")[0][1]).alias("sigma_12"))
+
+
 def queries() -> dict[str, Query]:
     plain = [
         predict_soft_lineitem, predict_hard_lineitem, label_histogram, logpdf_points, gconcave_pdf_points, suffstats_2d, outlier_uniform, reg_values,
-        init_stats_fixed_centers, predict_embeddings_diag, stream_train_events, stream_predict_events, export_spark_gmm, kmeans_init, fit_embeddings, step_minibatch, step_local,
+        init_stats_fixed_centers, predict_embeddings_diag, stream_train_events, stream_predict_events, export_spark_gmm, kmeans_init, fit_lineitem, fit_embeddings, step_minibatch, step_local,
+        predict_odd_points, text_points, predict_singles, component_scalars, trajectory_ga_3,
     ]
     return {q.__name__: q for q in plain} | {name: stepped(*how) for name, how in STEPS.items()}

@@ -28,9 +28,15 @@ def with_features(df: DataFrame, *columns: str | Column, name: str = "features")
 
 
 def read_points(spark: SparkSession, path: str, separator: str = " ") -> DataFrame:
-    """Points from text files, one per line of separated numbers."""
-    parts = F.split(F.trim("value"), separator)
-    return spark.read.text(path).where(F.length(F.trim("value")) > 0).select(parts.cast("array<double>").alias("features"))
+    """Points from text files, one per line of separated numbers.
+
+    The separator is taken as it stands; a blank one stands for any run of white space.
+    Lines of white space are passed over, and a part that is no number is an error.
+    """
+    line = F.regexp_replace("value", r"^\s+|\s+$", "")
+    parts = F.split(line, r"\s+" if not separator.strip() else f"\\Q{separator}\\E")
+    numbers = F.transform(parts, lambda x: F.trim(x).cast("double"))
+    return spark.read.text(path).where(F.length(line) > 0).select(numbers.alias("features"))
 
 
 def local_points(spark: SparkSession, points) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import glob
 import os
+import time
 
 import duckdb
 import numpy as np
@@ -10,12 +11,14 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from mixlode import Adamax, Component, GradientMixture, MixtureState
+from mixlode import Adamax, Component, GradientMixture, MixtureState, Nesterov
+from mixlode.operators import scoring
+from mixlode.operators.sampling import kmeans, kmeans_seed, take_batch, take_sample
 from mixlode.operators.suffstats import fold, gather, suffstats
 from mixlode.plans import oracles
 from mixlode.plans import queries as catalogue
 from mixlode.sources.features import local_points, params_from, read_points, with_features
-from mixlode.streaming.online import OnlineMixture
+from mixlode.streaming.online import OnlineMixture, ProgressLog, StateStore
 
 SF = "/root/testdata/sf0.001"
 
@@ -87,6 +90,12 @@ def test_fit_and_minibatch(spark):
 def test_sources_and_params(spark, tmp_path):
     (tmp_path / "points.txt").write_text(" 1.5 2\n\n3 4 \n")
     assert sorted(r[0] for r in read_points(spark, str(tmp_path / "points.txt")).collect()) == [[1.5, 2.0], [3.0, 4.0]]
+    for name, separator, lines in (("bar", "|", "1.5|2\n3 | 4\n"), ("tab", "\t", "1.5\t 2\n3\t4\n"), ("runs", " ", "  1.5   2\n\t\n3\t4"), ("dots", "..", "1.5..2\n3..4")):
+        (tmp_path / name).write_text(lines)
+        assert sorted(r[0] for r in read_points(spark, str(tmp_path / name), separator).collect()) == [[1.5, 2.0], [3.0, 4.0]], name
+    (tmp_path / "words").write_text("1.5 two")
+    with pytest.raises(Exception, match="CAST"):
+        read_points(spark, str(tmp_path / "words")).collect()
     m = model()
     weights, comps = params_from(m.params(spark))
     assert np.allclose(weights, m.weights) and np.allclose(comps[1].sigma, m.components[1].sigma)
@@ -105,21 +114,128 @@ def test_wide_points_score_by_arrow(spark):
     assert all(np.allclose(r.probability, m.predict_soft(np.array(r.features))) for r in got)
 
 
-def test_stream_replay_changes_nothing(spark, tmp_path, points):
-    first = OnlineMixture(model(max_iter=2), str(tmp_path / "s"))
-    parts = [local_points(spark, points[i::2]) for i in range(2)]
-    for b in (0, 1):
-        first.train_batch(parts[b], b)
-    done = first.model.state.to_json()
-    first.train_batch(parts[1], 1)
-    assert first.model.state.to_json() == pytest.approx(done) or np.allclose(first.model.weights, MixtureState.from_json(done).weights)
-    again = OnlineMixture(model(max_iter=2), str(tmp_path / "s"))
-    again.train_batch(parts[1], 1)
-    assert np.allclose(again.model.weights, MixtureState.from_json(done).weights)
+ODD = [[1.0, 2.0], None, [], [1.0], [1.0, 2.0, 3.0], [1.0, None], [float("nan"), 1.0], [1.0, float("-inf")], [-4.0, 0.5]]
+
+
+@pytest.mark.parametrize("terms", [256, 0])
+def test_odd_points_on_both_paths(spark, monkeypatch, terms):
+    monkeypatch.setattr(scoring, "EXPRESSION_TERMS", terms)
+    m, df = model(), spark.createDataFrame(list(enumerate(ODD)), "i int, features array<double>")
+    got = {r.i: r for r in m.predict(m.predict_soft(df)).collect()}
+    for i, p in enumerate(ODD):
+        if i in (0, len(ODD) - 1):
+            assert np.allclose(got[i].probability, m.predict_soft(np.array(p))) and got[i].prediction == m.predict(np.array(p))
+        else:
+            assert got[i].probability is None and got[i].prediction is None
+    for i in range(1, len(ODD) - 1):
+        with pytest.raises(Exception, match="every point must have 2 finite elements"):
+            model(max_iter=1).step(df.where(f"i in (0, {i})"))
+        with pytest.raises(Exception, match="every point must have 2 finite elements"):
+            suffstats(df.where(f"i in (0, {i})"), m.weights, m.components).collect()
+
+
+def test_stream_replays_change_nothing(spark, tmp_path, points):
+    parts = [local_points(spark, points[i::3]) for i in range(3)]
+    clean = OnlineMixture(model(max_iter=2), str(tmp_path / "clean"))
+    for b in range(3):
+        clean.train_batch(parts[b], b)
+    done, step, write = clean.model.state.to_json(), GradientMixture.step, StateStore.write
+
+    def run(name, path, patch):
+        """Batch 1 fails once, by `patch`, and comes again; so does batch 2, without failure."""
+        online = OnlineMixture(model(max_iter=2), path)
+        online.train_batch(parts[0], 0)
+        with pytest.MonkeyPatch.context() as m:
+            patch(m)
+            with pytest.raises(OSError):
+                online.train_batch(parts[1], 1)
+        for b in (1, 2, 2):
+            online.train_batch(parts[b], b)
+        assert online.model.state.to_json() == done, name
+        assert [h[0] for h in online.model.history] == list(range(6))
+        return online
+
+    def half_way(self, df):
+        self.max_iter = 1
+        step(self, df)
+        raise OSError("lost")
+
+    def unwritten(self, batch_id, state):
+        raise OSError("full")
+
+    def written(self, batch_id, state):
+        write(self, batch_id, state)
+        raise OSError("lost after the write")
+
+    run("step", str(tmp_path / "a"), lambda m: m.setattr(GradientMixture, "step", half_way))
+    run("step, no store", None, lambda m: m.setattr(GradientMixture, "step", half_way))
+    run("write", str(tmp_path / "b"), lambda m: m.setattr(StateStore, "write", unwritten))
+    run("after", str(tmp_path / "c"), lambda m: m.setattr(StateStore, "write", written))
+    again = OnlineMixture(model(max_iter=2), str(tmp_path / "c"))  # a new process, batch 2 comes again
+    again.train_batch(parts[2], 2)
+    assert again.model.state.to_json() == done
     plain = model(max_iter=2)
     for p in parts:
         plain.step(p)
-    assert np.allclose(plain.weights, MixtureState.from_json(done).weights)
+    assert np.allclose(plain.weights, clean.model.weights)
+
+
+def test_state_store_keeps_the_last(spark, tmp_path):
+    store = StateStore(spark, str(tmp_path / "s"), keep=2)
+    assert store.batches() == [] and store.before(5) is None
+    for b in range(4):
+        store.write(b, model().state)
+    store.write(3, model().state)
+    assert store.batches() == [2, 3] and store.before(3).to_json() == model().state.to_json()
+    with pytest.raises(ValueError):
+        StateStore(spark, str(tmp_path / "s"), keep=1)
+
+
+def test_progress_is_logged(spark, tmp_path, caplog):
+    listener = ProgressLog()
+    spark.streams.addListener(listener)
+    try:
+        with caplog.at_level("INFO", logger="mixlode.stream"):
+            spark.range(3).write.parquet(str(tmp_path / "in"))
+            query = spark.readStream.schema("id long").parquet(str(tmp_path / "in")).writeStream.format("noop").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+            query.awaitTermination()
+            spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(20000)
+    finally:
+        spark.streams.removeListener(listener)
+    assert any("3 rows" in r.message for r in caplog.records)
+
+
+def test_samples_by_hash_ignore_partitions(spark):
+    df = spark.range(2000).selectExpr("id", "array(cast(id as double)) as features")
+    batches = [sorted(r.id for r in take_batch(df.repartition(n), 0.1, 7, ("id",)).collect()) for n in (1, 6)]
+    assert batches[0] == batches[1] and 130 < len(batches[0]) < 270
+    samples = [take_sample(df.repartition(n), 20, 7, keys=("id",)) for n in (1, 6)]
+    assert samples[0] == samples[1] and len(samples[0]) == 20
+    assert batches[0] != sorted(r.id for r in take_batch(df, 0.1, 8, ("id",)).collect())
+
+
+def test_fit_embeddings_equals_local_steps(spark):
+    df = with_features(spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding"), "embedding")
+    weights, comps = kmeans_seed(df, 3, iterations=5, keys=("vec_id",))
+    x = np.array([r[0] for r in df.orderBy("vec_id").select("features").collect()])
+    m = GradientMixture(MixtureState(weights, tuple(comps)), Nesterov(), max_iter=3).step_local(x, shrink=True)
+    got = {r.prediction: r.n for r in catalogue.fit_embeddings(spark, SF).collect()}
+    assert got == {j: n for j, n in enumerate(np.bincount(m.predict(x), minlength=3).tolist()) if n}
+
+
+def test_seeding_is_as_good_as_spark_ml(spark):
+    from pyspark.ml.clustering import KMeans
+
+    rng = np.random.default_rng(12)
+    x = np.vstack([rng.normal(c, 1.0, (80, 3)) for c in ((0, 0, 0), (6, 0, 0), (0, 7, 0), (5, 5, 5))])
+    theirs = KMeans(k=4, seed=1, featuresCol="v").fit(local_points(spark, x).withColumn("v", array_to_vector("features"))).summary.trainingCost
+    assert min(kmeans(x, 4, seed=i)[1] for i in range(3)) <= 1.01 * theirs
+    weights, comps = kmeans_seed(local_points(spark, x), 4, tries=3)
+    assert weights.sum() == pytest.approx(1) and len(comps) == 4
+    wide = local_points(spark, rng.normal(size=(150, 64)))
+    began = time.time()
+    kmeans_seed(wide, 3)
+    assert time.time() - began < 10
 
 
 def test_component_from_spark_objects():
