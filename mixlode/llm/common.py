@@ -1,39 +1,148 @@
-"""Scratch tables in the shared folder, and connected components."""
+"""Scratch tables in the shared folder, key filters, numbering of equal rows, and connected components."""
 
 from __future__ import annotations
 
 import atexit
-import shutil
-import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+#: Where scratch tables go if the session names no folder: within Spark's warehouse, which a cluster shares too.
+_OWN = "mixlode-scratch"
+_made: list[tuple[SparkSession, str]] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset a temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one in the warehouse where that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="mixlode-llm-")
-        atexit.register(shutil.rmtree, root[7:], True)
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root}/mixlode"
+    return f"{root}/mixlode" if root else f"{spark.conf.get('spark.sql.warehouse.dir')}/{_OWN}"
+
 
+def small_batches(spark: SparkSession) -> None:
+    """Batches that go to Python are kept small, as a task holds a few copies of one: texts can be long.  Changes no result."""
+    for name, most, unit in (("maxRecordsPerBatch", 4096, ""), ("maxBytesPerBatch", 8 << 20, "b")):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(key).rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, f"{most}{unit}")
 
-def stored(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+
+def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes a DataFrame to the shared folder and reads it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
-    writer = df.write
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    _made.append((spark, path))
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clean() -> None:
+    """Deletes all scratch tables made so far; results that still read them are lost.  Runs at exit by itself."""
+    while _made:
+        spark, path = _made.pop()
+        sc = spark.sparkContext
+        if sc._jsc is not None:
+            at = sc._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@atexit.register
+def _clean_at_exit() -> None:
+    try:
+        clean()
+    except Exception:  # noqa: BLE001  the JVM is gone already
+        _made.clear()
+
+
+def numbered(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Adds `name`: 0, 1, ... within rows of equal keys (nulls are equal), without a task for each key.
+
+    Rows are counted within the partitions of `df` and the counts summed up, so a key
+    with many rows is spread over as many tasks as it has partitions.  `df` is read
+    twice and must read alike: pass a stored table.
+    """
+    group = F.struct(*[F.col(k) for k in keys])
+    marked = df.select(group.alias("g"), F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("m"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("r"))
+    inner = F.row_number().over(Window.partitionBy("g", "p").orderBy("m"))
+    upto = Window.partitionBy("g").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = marked.groupBy("g", "p").agg(F.count(F.lit(1)).alias("n")).select("g", "p", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("start"))
+    both = marked.withColumn("i", inner).join(starts.hint("merge"), ["g", "p"])
+    return both.select("r.*", (F.col("start") + F.col("i") - 1).alias(name))
+
+
+#: Bits of a key filter, at most (16 MB), and of one of its slices.
+FILTER_BITS, PART_BITS = 27, 20
+
+
+def _places(keys: np.ndarray, log_bits: int) -> list[np.ndarray]:
+    """Two places for each key, from different bits of it."""
+    k = keys.astype(np.int64).view(np.uint64)
+    mask = np.uint64((1 << log_bits) - 1)
+    return [(k & mask).astype(np.int64), (k >> np.uint64(64 - log_bits)).astype(np.int64)]
+
+
+def key_bits(keys: DataFrame) -> np.ndarray:
+    """A filter (packed bits) of a column of 64-bit hashes: 16 bits a key up to 2^FILTER_BITS, beyond that it lets more through."""
+    n = keys.count()
+    log_bits = min(FILTER_BITS, max(PART_BITS, (16 * n).bit_length()))
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = np.concatenate(_places(b.column(0).to_numpy(zero_copy_only=False), log_bits))
+            yield pa.RecordBatch.from_arrays([pa.array((at >> PART_BITS).astype(np.int32)), pa.array((at & ((1 << PART_BITS) - 1)).astype(np.int32))], ["part", "at"])
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for b in batches:
+            part, at = b.column(0).to_numpy(), b.column(1).to_numpy()
+            for p in np.unique(part).tolist():
+                held.setdefault(p, np.zeros(1 << PART_BITS, bool))[at[part == p]] = True
+        for p, bits in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([np.packbits(bits).tobytes()], pa.binary())], ["part", "bits"])
+
+    out = np.zeros(1 << (log_bits - 3), np.uint8)
+    size = 1 << (PART_BITS - 3)
+    marked = keys.mapInArrow(places, "part int, at int")
+    for r in marked.repartition(1 << (log_bits - PART_BITS), "part").mapInArrow(parts, "part int, bits binary").toLocalIterator():
+        out[r["part"] * size : (r["part"] + 1) * size] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def passing(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether the filter lets each key through: all that it was made of, and a few others."""
+    ok = np.ones(len(keys), bool)
+    for at in _places(keys, (len(bits) * 8).bit_length() - 1):
+        ok &= (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+    return ok
+
+
+def selected(keyed: DataFrame, bits: np.ndarray, through: bool = True, once: list[str] | None = None) -> DataFrame:
+    """The rows of keyed (with a 64-bit column `key`) that a filter lets through, or those that it does not; map-only.
+
+    once: of the rows let through, a task passes only the first that is equal in these columns.
+    """
+    at, same = keyed.columns.index("key"), [keyed.columns.index(c) for c in once or []]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple] = set()
+        for b in batches:
+            mask = passing(bits, b.column(at).to_numpy(zero_copy_only=False)) == through
+            if same:
+                for i in np.flatnonzero(mask).tolist():
+                    row = tuple(b.column(c)[i].as_py() for c in same)
+                    mask[i] = row not in seen
+                    seen.add(row)
+            if mask.any():
+                yield b.filter(pa.array(mask))
+
+    return keyed.mapInArrow(run, keyed.schema)
+
+
 #: Edges that one task unites at the end; more are contracted first.
 FINISH = 500_000
 

@@ -13,9 +13,9 @@ union.  The join is exact (up to collisions of 64-bit hashes).
    are skipped at once.  What remains of two blocks is joined into one cluster, entry
    by entry and not pair by pair.  Hot lists are split by a salt, reduced to one
    entry for each size and position, and only these meet.
-3. Sets of a cluster are compared.  One of them is the pivot; every other set is
-   known by its difference from the pivot, and the overlap of any two follows from
-   the pivot's size and the two (small) differences, without the sets themselves.
+3. Sets of a cluster are compared.  A set's answers (its overlaps with all others) are
+   derived from the computed answers of the set most like it, by the index lists of the
+   few shingles in which the two differ; see `linked`.
    Clusters above BLOCK sets are cut into blocks, compared within two independent
    cuts; then the sets outside a cluster's main component are compared with all sets
    of the cluster, so that no link between different components is missed.
@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mixlode.llm.common import components, stored
+from mixlode.llm.common import components, key_bits, selected, small_batches, stored
 from mixlode.llm.shingles import mix64, shingle_sets
 
 #: Sets, and shingles, of one block of a cluster: what one task holds at a time.
@@ -45,9 +45,11 @@ BLOCK = 512
 BLOCK_SHINGLES = 2_000_000
 #: Cells of the frequency sketch, and of one of its slices.
 CELL_BITS, SLICE_BITS = 20, 16
-#: A list is hot from this count of its cell on (or from 8 times the mean cell).
+#: A list is hot from this count on, whatever the size of the corpus.
 HOT = 4096
 SALTS = 64
+#: Postings that a task hands over at a time.
+SLICE_ROWS = 1 << 16
 
 
 def needed(a, b, num: int, den: int):
@@ -105,23 +107,39 @@ def _merged_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array(blobs, pa.binary())], ["slice", "cells"])
 
 
+def levels_of(total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """uint8 levels of cells by their counts, and whether a cell is hot.
+
+    In a large corpus every cell counts many rare shingles.  What a cell holds above the
+    usual is what its frequent shingles add, so levels (4 times a binary log) and the hot
+    limit are taken above a low cell and the middle cell, with room for the middle's noise.
+    """
+    low, middle = np.quantile(total, (0.01, 0.5))
+    return (4 * np.log2(np.maximum(total - low, 0) + 1)).astype(np.uint8), total - middle >= HOT + 4 * np.sqrt(middle)
+
+
 def frequency_levels(summaries: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """uint8 levels (4 times the binary log of the count) and whether a cell is hot, for all cells."""
+    """levels_of all cells of the sketch."""
     parts = summaries.where("n = -1").select(F.col("text_key").alias("slice"), "cells")
     total = np.zeros(1 << CELL_BITS, np.int64)
     merged = parts.repartition(16, "slice").mapInArrow(_merged_slices, "slice long, cells binary")
     for r in merged.toLocalIterator():  # 16 slices of 2^16 cells
         total[r["slice"] << SLICE_BITS : (r["slice"] + 1) << SLICE_BITS] += np.frombuffer(zlib.decompress(r["cells"]), "<i8")
-    return (4 * np.log2(total + 1)).astype(np.uint8), total >= max(HOT, 8 * total.mean())
+    return levels_of(total)
 
 
 def _postings(levels: np.ndarray, hot: np.ndarray, width: int, num: int, den: int) -> Callable:
     packed_hot = np.packbits(hot)
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64())
+
+    def batch(cols: list[list[np.ndarray]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), k) for c, k in zip(cols, kinds, strict=True)], ["h", "salt", "n", "pos", "sid"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         is_hot, seen = np.unpackbits(packed_hot).astype(bool), set()
         for b in batches:
             cols: list[list[np.ndarray]] = [[] for _ in range(5)]
+            held = 0
             for s in shingle_sets(b.column(0), width):
                 n = len(s)
                 if not n or (name := signature(s)) in seen:
@@ -133,10 +151,12 @@ def _postings(levels: np.ndarray, hot: np.ndarray, width: int, num: int, den: in
                 salt = np.where(is_hot[cell[order]], 1 + (name & 0xFFFFFFFF) % SALTS, 0)
                 for c, v in zip(cols, (s[order].view(np.int64), salt, np.full(p, n), np.arange(p), np.full(p, name)), strict=True):
                     c.append(v)
-            if cols[0]:
-                out = [np.concatenate(c) for c in cols]
-                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds, strict=True)], ["h", "salt", "n", "pos", "sid"])
+                held += p
+                if held >= SLICE_ROWS:
+                    yield batch(cols)
+                    cols, held = [[] for _ in range(5)], 0
+            if held:
+                yield batch(cols)
 
     return run
 
@@ -256,45 +276,54 @@ def clusters(texts: DataFrame, levels: np.ndarray, hot: np.ndarray, width: int,
 
 
 def linked(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
-    """Label of each set: the least index of those it is connected with, by exact links."""
+    """Label of each set: the least index of those it is connected with, by exact links.
+
+    A set's answer is its overlap with every set.  The next set is always the one most
+    like a set that has its answer, from which its own is derived: less the index lists of
+    the shingles that only the other has, plus those of its own further ones.  A set that
+    is like none is counted from its lists.  Taken in this order, a set that links with any
+    earlier one links with the one it is derived from, so these links span the components.
+    """
     m = len(sets)
     sizes = np.array([len(s) for s in sets])
-    pivot = sets[int(np.argsort(sizes, kind="stable")[m // 2])]
-    lost, rows, parts = np.zeros(m, np.int64), [], []
-    for i, s in enumerate(sets):
-        at = np.searchsorted(pivot, s)
-        at[at == len(pivot)] = 0
-        kept = pivot[at] == s
-        missing = np.ones(len(pivot), bool)
-        missing[at[kept]] = False
-        lost[i] = missing.sum()
-        for d in (s[~kept], pivot[missing]):
-            parts.append(d)
-            rows.append(np.full(len(d), i, np.int32))
-    differs, row = np.concatenate(parts), np.concatenate(rows)
-    _, column, count = np.unique(differs, return_inverse=True, return_counts=True)
-    shared = count[column] > 1
-    rank = np.cumsum(count > 1) - 1
-    column, row = rank[column[shared]], row[shared]
-    order = np.argsort(column, kind="stable")
-    column, row = column[order], row[order]
-    # |y & z| = |p| - |p - y| - |p - z| + what the two differences share
-    common = (len(pivot) - lost[:, None] - lost[None, :]).astype(np.float64)
-    step = max(256, (1 << 21) // max(m, 1))
-    for start in range(0, int(column[-1]) + 1 if len(column) else 0, step):
-        a, z = np.searchsorted(column, [start, start + step])
-        has = np.zeros((m, min(step, int(column[-1]) + 1 - start)), np.float32)
-        has[row[a:z], column[a:z] - start] = 1
-        common += has @ has.T
-    links = den * common >= num * (sizes[:, None] + sizes[None, :] - common)
-    label = np.full(m, -1)
-    for i in range(m):
-        if label[i] < 0:
-            label[i], front = i, np.array([i])
-            while len(front):
-                front = np.flatnonzero(links[front].any(axis=0) & (label < 0))
-                label[front] = i
-    return label
+    token, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)[1:]
+    bounds, rank = np.r_[0, np.cumsum(sizes)], np.cumsum(count > 1) - 1
+    shared = count[token] > 1
+    held = [rank[token[a:z][shared[a:z]]] for a, z in zip(bounds[:-1], bounds[1:], strict=True)]
+    holder = np.repeat(np.arange(m, dtype=np.int32), sizes)[shared]
+    holder = holder[np.argsort(rank[token[shared]], kind="stable")]
+    ends = np.cumsum(count[count > 1])
+    mark = np.zeros(len(ends), bool)
+
+    def hits(tokens: np.ndarray) -> np.ndarray:
+        """How many of these shingles' lists each set is in."""
+        n = count_shared[tokens]
+        at = np.repeat(ends[tokens] - np.cumsum(n), n) + np.arange(int(n.sum()))
+        return np.bincount(holder[at], minlength=m)
+
+    def without(tokens: np.ndarray, other: np.ndarray) -> np.ndarray:
+        mark[other] = True
+        rest = tokens[~mark[tokens]]
+        mark[other] = False
+        return rest
+
+    count_shared = count[count > 1]
+    answers: list[np.ndarray | None] = [None] * m
+    todo, like, source, root = np.ones(m, bool), np.zeros(m), np.full(m, -1), np.arange(m)
+    for _ in range(m):
+        y = int(np.where(todo, like, -1.0).argmax())
+        x = int(source[y])
+        todo[y] = False
+        gained, lost = (without(held[y], held[x]), without(held[x], held[y])) if x >= 0 else (held[y], held[y])
+        answer = answers[y] = answers[x] + hits(gained) - hits(lost) if len(gained) + len(lost) < len(held[y]) else hits(held[y])
+        if x >= 0 and den * answer[x] >= num * (sizes[x] + sizes[y] - answer[x]):
+            root[y] = root[x]
+        now = answer / (sizes + sizes[y] - answer)
+        closer = todo & (now > like)
+        like[closer], source[closer] = now[closer], y
+    least = np.full(m, m)
+    np.minimum.at(least, root, np.arange(m))
+    return least[root]
 
 
 def _compared(width: int, num: int, den: int) -> Callable:
@@ -335,6 +364,7 @@ def first_of_component(docs: DataFrame, width: int = 5, num: int = 80, den: int
     text_key is the text's hash; component_id and component_key name the component's
     first row: that of smallest id (null last), then of smallest text_key.
     """
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     keyed = texts.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
     summary = stored(keyed.mapInArrow(_summaries(width), "id long, text_key long, n long, sid long, cells binary"), f"{name}-sets")
@@ -347,7 +377,9 @@ def first_of_component(docs: DataFrame, width: int = 5, num: int = 80, den: int
     member = stored(member.join(sets, "sid").select("sid", "cluster", "n", "r.doc_id", "r.text_key"), f"{name}-members")
     size = member.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     member = stored(member.join(size, "cluster"), f"{name}-blocks")
-    key = keyed.withColumnRenamed("doc_id", "d").withColumnRenamed("text_key", "k")
+    # only texts that a filter of the members' keys lets through are shuffled
+    bits = key_bits(member.select("text_key"))
+    key = selected(keyed.select("doc_id", F.col("text_key").alias("key"), "text"), bits, once=["doc_id", "key"]).select(F.col("doc_id").alias("d"), F.col("key").alias("k"), "text")
     # the members grow with the corpus: both sides are shuffled, whatever the size
     found = key.hint("merge").join(member, key.d.eqNullSafe(member.doc_id) & (key.k == member.text_key)).select("sid", "cluster", "n", "blocks", "text")
     found = stored(found, f"{name}-texts")
