@@ -1,28 +1,37 @@
 """Mixing sources to target weights by Efraimidis-Spirakis sampling.
 
 Each document gets an exponential key, -ln(u) / weight, with u from 52 bits of a
-seeded MD5 hash (which other engines have too) and the weight its quality.  In a source's key order, sizes are summed up to
-the token budget that is left after the complete epochs; the document on which
-the budget ends is taken in part, so that sums meet targets within rounding.
+seeded MD5 hash (which other engines have too) and the weight its quality.  In a
+source's key order, sizes are summed up to the token budget that is left after the
+complete epochs; the document on which the budget ends is taken in part, so that sums
+meet targets within rounding.
 
-The order is never built in one task: keys fall into buckets by the exponential
-distribution function, bucket sums are summed up, and only the bucket in which a
-source's budget ends is put in order.
+The order is never built.  The key range in which a source's budget ends is cut into
+CELLS cells, whose sums, summed up, name the one in which it ends, and that one is cut
+again, until a single key is left: rows below it are taken whole, rows above it not at
+all.  Rows that share this key are numbered, in parts.
 
 Defined cases: null text has size 0 and is taken 0 words of; a null source is a
 source of its own, last in order; null ids and repeated rows count as rows, each
-taken once per epoch (rows equal in id, source and size are one lot in the
-order); an empty table gives an empty result; other columns are ignored.
+taken once per epoch and each by itself in the last; weights that are null count as
+1, those below 0.001 as 0.001; an empty table gives an empty result; other columns
+are ignored by the plan and carried by `taken`.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass, replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from mixlode.llm.common import stored
+from mixlode.llm.common import numbered, stored
 
+#: Cells that a key range is cut into.
+CELLS = 1024
+#: Labelled documents that are broadcast.
+SMALL_LABELS = 250_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -50,60 +59,110 @@ def targets(sizes: list[tuple[str | None, int]], weights: list[float], share: fl
     return out
 
 
-def mixed(rows: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 0, name: str = "mix", cut: bool = True) -> DataFrame:
-    """rows (doc_id, source, size, quality) -> doc_id, source, size, source_size, target, taken, epochs, part.
+def sampling_key(seed: int = 0) -> Column:
+    """The exponential key of a row (doc_id, size, quality)."""
+    name = F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("size").cast("string"))
+    u = (F.conv(F.substring(F.md5(name.cast("binary")), 1, 13), 16, 10).cast("double") + 1) / F.lit(float(1 << 52))
+    return -F.log(u) / F.greatest(F.coalesce("quality", F.lit(1.0)), F.lit(1e-3))
 
-    weights repeat over the sources in code point order.  A source's plan is one
-    row; the plans go through the driver, as the list of sources and weights does.
-    epochs: complete passes; part: words of one more, partial pass (with cut=False
-    all words or none: whole if the budget reaches the document's middle).
-    """
-    spark = rows.sparkSession
-    name_of = F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("size").cast("string"))
-    u = (F.conv(F.substring(F.md5(name_of.cast("binary")), 1, 13), 16, 10).cast("double") + 1) / F.lit(float(1 << 52))
-    key = -F.log(u) / F.greatest(F.coalesce("quality", F.lit(1.0)), F.lit(1e-3))
-    keyed = stored(rows.select("doc_id", "source", "size", key.alias("key")), f"{name}-keys")
-    per_source = keyed.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()
-    per_source.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode("utf-8")))  # UTF-8 order is code point order
-    sizes = [(r["source"], r["size"]) for r in per_source]
-    goal = targets(sizes, [float(weights[i % len(weights)]) for i in range(len(sizes))], share, cap)
-    plan = []
-    for r, t in zip(per_source, goal, strict=True):
+
+@dataclass(frozen=True)
+class Share:
+    """What is taken of a source: `epochs` times all; once more what has keys below `key`, and up to `left` words of the `rows` rows at it."""
+
+    source: str | None
+    size: int
+    target: float
+    epochs: int
+    key: float | None = None
+    left: int = 0
+    rows: int = 0
+
+
+_SHARE = "__s string, source_size long, target double, epochs long, __edge double, __left long, __rows long"
+
+
+def plan(keyed: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> list[Share]:
+    """The shares of the sources of keyed (source, size, key), a stored table; weights repeat over the sources in code point order."""
+    spark = keyed.sparkSession
+    found = keyed.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"), F.min("key").alias("low"), F.max("key").alias("high")).collect()
+    found.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode("utf-8")))  # UTF-8 order is code point order
+    goal = targets([(r["source"], r["size"]) for r in found], [float(weights[i % len(weights)]) for i in range(len(found))], share, cap)
+    shares, ranges = [], {}
+    for r, t in zip(found, goal, strict=True):
         whole = round(t)
         epochs = min(whole // r["size"], int(cap)) if r["size"] else 0
-        plan.append((r["source"], r["size"], float(t), epochs, whole - epochs * r["size"], max(1, r["n"] // 2_000)))
-    plans = spark.createDataFrame(plan, "source string, source_size long, target double, epochs long, rest long, buckets long")
-    same = F.col("k.source").eqNullSafe(F.col("p.source"))
-    # one row per source: a few hundred bytes each, as many as the mix lists
-    bucketed = keyed.alias("k").join(F.broadcast(plans.alias("p")), same).select("k.*", "source_size", "target", "epochs", "rest", F.floor(F.col("buckets") * (1 - F.exp(-F.col("key")))).alias("bucket"))
-    sums = bucketed.groupBy("source", "bucket").agg(F.sum("size").alias("in_bucket"))
-    upto = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(F.col("source").alias("s"), F.col("bucket").alias("b"), "in_bucket", F.coalesce(F.sum("in_bucket").over(upto), F.lit(0)).alias("before"))
-    placed = bucketed.join(sums, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))).drop("s", "b")
-    ends = (F.col("before") < F.col("rest")) & (F.col("before") + F.col("in_bucket") > F.col("rest"))
-    inner = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.col("before") + F.coalesce(F.sum("size").over(inner), F.lit(0))
-    reach = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - start))
-    part = reach if cut else F.when(2 * reach >= F.col("size"), F.col("size")).otherwise(F.lit(0))
-    edge = placed.where(ends).withColumn("part", part)
-    clear = placed.where(~ends).withColumn("part", F.when(F.col("before") + F.col("in_bucket") <= F.col("rest"), F.col("size")).otherwise(F.lit(0)))
-    both = clear.unionByName(edge)
-    return both.select("doc_id", "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("part")).cast("long").alias("taken"), "epochs", F.col("part").cast("long").alias("part"))
+        shares.append(Share(r["source"], r["size"], float(t), epochs))
+        if rest := whole - epochs * r["size"]:
+            ranges[r["source"]] = (r["low"], r["high"], rest, r["n"])
+    while wide := [(s, *r[:3]) for s, r in ranges.items() if r[0] < r[1]]:
+        bounds = F.broadcast(spark.createDataFrame(wide, "s string, low double, high double, rest long"))  # one row a source
+        inside = keyed.join(bounds, F.col("source").eqNullSafe(F.col("s")) & F.col("key").between(F.col("low"), F.col("high")))
+        cell = F.least(F.floor((F.col("key") - F.col("low")) / (F.col("high") - F.col("low")) * CELLS), F.lit(CELLS - 1))
+        cells = inside.groupBy("source", cell.alias("cell"), "rest").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"), F.min("key").alias("low"), F.max("key").alias("high"))
+        upto = Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
+        ends = cells.withColumn("sum", F.sum("size").over(upto)).where((F.col("sum") >= F.col("rest")) & (F.col("sum") - F.col("size") < F.col("rest")))
+        for r in ends.collect():  # one cell a source
+            ranges[r["source"]] = (r["low"], r["high"], r["rest"] - (r["sum"] - r["size"]), r["n"])
+    return [replace(s, key=ranges[s.source][0], left=ranges[s.source][2], rows=ranges[s.source][3]) if s.source in ranges else s for s in shares]
+
+
+def taken(rows: DataFrame, shares: list[Share], cut: bool = True) -> DataFrame:
+    """Adds source_size, target, epochs (complete passes) and part (words of one more, partial pass) to rows (source, size, key, ...).
+
+    With cut=False a part is all words or none: whole if the budget reaches the
+    document's middle.  Rows are not shuffled, but for those that share the key at which
+    their source's budget ends.
+    """
+    if not shares:
+        return rows.select("*", F.lit(0).cast("long").alias("source_size"), F.lit(0.0).alias("target"), F.lit(0).cast("long").alias("epochs"), F.lit(0).cast("long").alias("part"))
+    bounds = rows.sparkSession.createDataFrame([(s.source, s.size, s.target, s.epochs, s.key, s.left, s.rows) for s in shares], _SHARE)
+    # one row a source: a few hundred bytes each, as many as the mix lists
+    placed = rows.join(F.broadcast(bounds), F.col("source").eqNullSafe(F.col("__s")))
+
+    def with_part(df: DataFrame, before: Column) -> DataFrame:
+        reach = F.greatest(F.lit(0), F.least(F.col("size"), F.col("__left") - before))
+        part = reach if cut else F.when((reach > 0) & (2 * reach >= F.col("size")), F.col("size")).otherwise(F.lit(0))
+        part = F.when(F.col("key") < F.col("__edge"), F.col("size")).when(F.col("key") == F.col("__edge"), part).otherwise(F.lit(0))
+        return df.select(*rows.columns, "source_size", "target", "epochs", part.cast("long").alias("part"))
+
+    if all(s.rows <= 1 for s in shares):
+        return with_part(placed, F.lit(0))
+    tie = F.coalesce((F.col("key") == F.col("__edge")) & (F.col("__rows") > 1), F.lit(False))
+    tied = numbered(stored(placed.where(tie), "mixing-ties"), ["source"], "__i")  # equal keys: rows of one size
+    return with_part(placed.where(~tie), F.lit(0)).unionByName(with_part(tied, F.col("__i") * F.col("size")))
+
+
+def mixed(rows: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 0, name: str = "mix", cut: bool = True) -> DataFrame:
+    """rows (doc_id, source, size, quality) -> doc_id, source, size, source_size, target, taken, epochs, part."""
+    keyed = stored(rows.select("doc_id", "source", "size", sampling_key(seed).alias("key")), f"{name}-keys")
+    both = taken(keyed, plan(keyed, weights, share, cap), cut)
+    return both.select("doc_id", "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("part")).alias("taken"), "epochs", "part")
 
 
 def with_quality(docs: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """doc_id, source, size and quality: 0.5 plus the mean quality label, 1 where there is none."""
-    rows = docs.select("doc_id", "source", n_words().alias("size"))
+    """Adds size and quality: 0.5 plus the mean quality label, 1 where there is none.
+
+    Up to SMALL_LABELS labelled documents are broadcast (8 MB); more are joined by a
+    shuffle, which rows without id do not enter, as no label is theirs.
+    """
+    rows = docs.withColumn("size", n_words())
     if labels is None:
         return rows.withColumn("quality", F.lit(1.0))
-    marks = labels.groupBy("doc_id").agg((F.avg("quality") + 0.5).alias("quality"))
-    return rows.join(marks, "doc_id", "left").select("doc_id", "source", "size", F.coalesce("quality", F.lit(1.0)).alias("quality"))
+    marks = labels.where("doc_id is not null").groupBy(F.col("doc_id").alias("__d")).agg((F.avg("quality") + 0.5).alias("__q"))
+    quality = F.coalesce("__q", F.lit(1.0)).alias("quality")
+    columns = [c for c in rows.columns if c != "quality"]
+    same = F.col("doc_id") == F.col("__d")
+    if labels.count() <= SMALL_LABELS:
+        return rows.join(F.broadcast(marks), same, "left").select(*columns, quality)
+    found = rows.where("doc_id is not null").join(marks.hint("merge"), same, "left").select(*columns, quality)
+    return found.unionByName(rows.where("doc_id is null").select(*columns, F.lit(1.0).alias("quality")))
 
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:
     """Contract query: what the mix takes of every document."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    return mixed(with_quality(docs, labels), seed=2).select("doc_id", "size", "source_size", "target", "taken")
+    return mixed(with_quality(docs.select("doc_id", "source", "text"), labels), seed=2).select("doc_id", "size", "source_size", "target", "taken")
 
 
 #: The same mix in SQL.  Sources fill up in the order of size by weight; the first that does not sets the unit of all that follow.
