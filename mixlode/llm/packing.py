@@ -28,12 +28,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from mixlode.llm.common import stored
+from mixlode.llm.common import numbered, small_batches, stored
 
-#: Words that each generation of a worker's memory holds.
-MEMORY = 200_000
+#: Words that each generation of a worker's memory holds, and characters of one (some 60 MB in all).
+MEMORY, LONGEST = 200_000, 64
 _TWO_BLANKS = re.compile(r"\s\s")
 _encoders: dict[tuple[str, str], Encoder] = {}
 
@@ -67,6 +66,8 @@ class Encoder:
         return np.array(ids, "<u4").tobytes() if array("I").itemsize != 4 or np.little_endian is False else array("I", ids).tobytes()
 
     def _recall(self, word: str) -> bytes:
+        if len(word) > LONGEST:
+            return self.packed(self.word.encode_ordinary(" " + word))
         got = self.old.get(word)
         if got is None:
             got = self.packed(self.word.encode_ordinary(" " + word))
@@ -122,6 +123,7 @@ def pieces(docs: DataFrame, json_file: str, rank_file: str, capacity: int = 2048
             take = 6 if ids else 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols[:take], kinds, strict=False)], names[:take])
 
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
@@ -199,19 +201,13 @@ class Plan:
         return (runs[:, 0] << 48) + runs[:, 1], runs[:, 1].copy(), runs[:, 2].copy(), runs[:, 3].copy()
 
 
-def packed(parts: DataFrame, capacity: int = 2048, keys: tuple[str, ...] = ("doc_id", "piece", "ids_crc32"), bucket_rows: int = 20_000) -> DataFrame:
+def packed(parts: DataFrame, capacity: int = 2048) -> DataFrame:
     """Adds sequence_id and offset to stored pieces (they are read more than once)."""
     counts = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per length
     plan = Plan(counts, capacity)
     if not counts:
         return parts.withColumn("sequence_id", F.lit(None).cast("long")).withColumn("offset", F.lit(None).cast("long"))
-    # ranks within a length, in buckets, so that no length is put in order by one task
-    buckets = max(1, max(counts.values()) // bucket_rows)
-    marked = parts.withColumn("__b", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
-    upto = Window.partitionBy("length").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = marked.groupBy("length", "__b").agg(F.count(F.lit(1)).alias("__n")).select("length", "__b", F.coalesce(F.sum("__n").over(upto), F.lit(0)).alias("__start"))
-    inner = F.row_number().over(Window.partitionBy("length", "__b").orderBy(*keys))
-    ranked = marked.withColumn("__i", inner).join(starts, ["length", "__b"]).withColumn("__r", (F.col("__start") + F.col("__i") - 1).cast("long")).drop("__b", "__i", "__start")
+    ranked = numbered(parts, ["length"], "__r")
     at, ranks, firsts, offsets = plan.arrays()
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
