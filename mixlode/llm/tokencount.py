@@ -21,9 +21,11 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from mixlode.llm.common import small_batches
+
 MARK = "▁"
-#: Units that each generation of a worker's memory holds.
-MEMORY = 400_000
+#: Units that each generation of a worker's memory holds, and characters of one (some 100 MB in all).
+MEMORY, LONGEST = 400_000, 64
 _UNITS = re.compile(f"{MARK}+[^{MARK}]*|^[^{MARK}]+")
 _counters: dict[str, Counter] = {}
 
@@ -42,9 +44,9 @@ class Counter:
         spec = proto.normalizer_spec
         if proto.trainer_spec.model_type != 2 or spec.precompiled_charsmap or spec.remove_extra_whitespaces or not spec.add_dummy_prefix:
             raise ValueError("only BPE models with the identity normalizer and a dummy prefix are counted")
-        self.ranks = {p.piece: -p.score for p in proto.pieces if p.type in (kinds.NORMAL, kinds.UNUSED)}
-        if any(p.type == kinds.USER_DEFINED for p in proto.pieces):
-            raise ValueError("user-defined pieces are not counted")
+        self.ranks = {p.piece: -p.score for p in proto.pieces if p.type == kinds.NORMAL}
+        if any(p.type in (kinds.USER_DEFINED, kinds.UNUSED) for p in proto.pieces):
+            raise ValueError("models with user-defined or unused pieces are not counted")
         if any(MARK in piece.lstrip(MARK) for piece in self.ranks):
             raise ValueError("a piece crosses a word boundary")
         self.bytes_fallback = proto.trainer_spec.byte_fallback
@@ -83,6 +85,8 @@ class Counter:
         return count
 
     def _recall(self, unit: str) -> int:
+        if len(unit) > LONGEST:
+            return self.unit(unit)
         n = self.old.get(unit)
         if n is None:
             n = self.unit(unit)
@@ -123,6 +127,7 @@ def counted(docs: DataFrame, model_file: str, limit: int = 4096) -> DataFrame:
             size = [len(t.encode("utf-8")) if t else 0 for t in texts]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 
