@@ -8,8 +8,9 @@ units of 576 bytes in a frame of 320 kbit/s, one in a frame of 160 kbit/s.
 
 The scanner skips tags, resynchronises on frame headers (a header counts if its
 fields are valid and the stream ends or another header, or a tag, follows at its
-length), reads variable-bitrate tables, verifies checksums, and stores the exact
-duration in samples and every frame's byte offset.
+length), reads variable-bitrate tables, and finds the exact duration in samples and
+every frame's byte offset.  It verifies the checksums of Layers I and III; those of
+Layer II cover tables that it does not decode, and are counted as not verified.
 
 Defined cases: null and empty texts have one unit of padding; equal texts have
 equal streams; an empty table gives an empty result; other columns are ignored.
@@ -27,6 +28,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from mixlode.llm.common import small_batches, stored
+
 UNIT = 576
 PAD = 255
 
@@ -39,6 +42,7 @@ BITRATES = {
     (False, 2): (0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160),
     (False, 3): (0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160),
 }
+TAGS = (b"TAG", b"ID3", b"APETAGEX", b"LYRICSBEGIN")
 RATES = {3: (44100, 48000, 32000), 2: (22050, 24000, 16000), 0: (11025, 12000, 8000)}
 
 
@@ -49,10 +53,26 @@ class Header:
     protected: bool
     kbps: int
     rate: int
-    mono: bool
+    mode: int  # 0: stereo, 1: joint, 2: two channels, 3: mono
+    extension: int
     length: int
     samples: int
 
+    @property
+    def mono(self) -> bool:
+        return self.mode == 3
+
+    @property
+    def covered(self) -> int | None:
+        """Bytes behind the checksum that it covers, besides half of the header; None where that takes decoding."""
+        if self.layer == 3:
+            return self.side_info
+        if self.layer == 2:
+            return None
+        # Layer I: four bits for each of 32 subbands and channel, from the joint bound on for both channels at once
+        bound = 4 * (self.extension + 1) if self.mode == 1 else 32
+        return 16 if self.mono else (32 + bound) // 2
+
     @property
     def side_info(self) -> int:
         """Bytes of Layer III side information."""
@@ -70,7 +90,7 @@ def header(data: bytes, at: int) -> Header | None:
     kbps, rate = BITRATES[version == 3, layer][bits], RATES[version][hz]
     samples = 384 if layer == 1 else 1152 if layer == 2 or version == 3 else 576
     length = (12000 * kbps // rate + pad) * 4 if layer == 1 else samples // 8 * 1000 * kbps // rate + pad
-    return Header(version, layer, not data[at + 1] & 1, kbps, rate, data[at + 3] >> 6 == 3, length, samples)
+    return Header(version, layer, not data[at + 1] & 1, kbps, rate, data[at + 3] >> 6, data[at + 3] >> 4 & 3, length, samples)
 
 
 def _crc_table() -> list[int]:
@@ -142,6 +162,7 @@ class Scan:
     sizes: list[int] = field(default_factory=list)
     protected: int = 0
     good: int = 0
+    unverified: int = 0
     resyncs: int = 0
     declared_frames: int | None = None
     declared_bytes: int | None = None
@@ -167,7 +188,8 @@ def scan(data: bytes) -> Scan:
     first = True
     while at + 4 <= end:
         h = header(data, at)
-        fits = h is not None and at + h.length <= end and (at + h.length + 4 > end or header(data, at + h.length) is not None)
+        stop = at + h.length if h else at
+        fits = h is not None and stop <= end and (stop + 4 > end or header(data, stop) is not None or data.startswith(TAGS, stop))
         if not fits:
             if synced:
                 out.resyncs += 1
@@ -198,8 +220,10 @@ def scan(data: bytes) -> Scan:
         good = True
         if h.protected:
             out.protected += 1
-            if h.layer == 3:
-                good = crc16(data[at + 2 : at + 4] + data[body : body + h.side_info]) == int.from_bytes(data[at + 4 : at + 6], "big")
+            if h.covered is None:
+                out.unverified += 1
+            else:
+                good = crc16(data[at + 2 : at + 4] + data[body : body + h.covered]) == int.from_bytes(data[at + 4 : at + 6], "big")
                 out.good += good
         out.rate = out.rate or h.rate
         out.samples += h.samples
@@ -216,7 +240,7 @@ def scan(data: bytes) -> Scan:
 def feature(s: Scan) -> str:
     seek = zlib.crc32(np.array(s.offsets, "<u8").tobytes())
     declared = s.declared_frames == len(s.offsets)
-    return f"mpeg1-layer3 rate={s.rate} frames={len(s.offsets)} samples={s.samples} seconds={s.seconds:.3f} crc={s.good}/{s.protected} resyncs={s.resyncs} vbr={'ok' if declared else 'bad'} seek={seek:08x} tags={'+'.join(s.tags)}"
+    return f"mpeg1-layer3 rate={s.rate} frames={len(s.offsets)} samples={s.samples} seconds={s.seconds:.3f} crc={s.good}/{s.protected - s.unverified} unverified={s.unverified} resyncs={s.resyncs} vbr={'ok' if declared else 'bad'} seek={seek:08x} tags={'+'.join(s.tags)}"
 
 
 def with_media(docs: DataFrame) -> DataFrame:
@@ -264,5 +288,7 @@ def features(media: DataFrame, seek: bool = False) -> DataFrame:
 
 
 def op6_media(spark, sf_dir: str) -> DataFrame:
-    """Contract query: every document's stream, written and read back."""
-    return features(with_media(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    """Contract query: every document's stream, stored, and read back from the store, with all frame offsets."""
+    small_batches(spark)
+    media = stored(with_media(spark.read.parquet(f"{sf_dir}/documents.parquet")), "media")
+    return features(media, seek=True)
