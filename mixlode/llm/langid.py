@@ -26,12 +26,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mixlode.llm.common import small_batches
 from mixlode.llm.shingles import chunks, text_buffers
 
 #: Cells of the trigram table, and a cell that counts for nothing.
 CELLS = 1 << 15
 #: Labelled texts of each language that a model is fitted on.
 SAMPLE = 800
+#: Bytes of labelled text of each language, beyond which no further text is taken: what the driver holds is this and one text a language.
+SAMPLE_BYTES = 8 << 20
 #: Scores below this are ambiguous.
 AMBIGUOUS = 0.6
 UND = "und"
@@ -151,21 +154,26 @@ def held_out(doc_id: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def training_sample(docs: DataFrame, per_language: int = SAMPLE) -> list[tuple[str, str]]:
-    """At most `per_language` (text, lang) of each language, chosen by a hash of the id; whole texts."""
+def training_sample(docs: DataFrame, per_language: int = SAMPLE, bytes_per_language: int = SAMPLE_BYTES) -> list[tuple[str, str]]:
+    """Whole texts (text, lang) chosen by a hash of the id: of each language per_language at most, and no further one beyond bytes_per_language."""
     usable = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
     counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per language
     if not counts:
         return []
     u = F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
     limits = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, 1.2 * per_language / n)])
-    rows = usable.withColumn("u", u).where(F.col("u") < limits[F.col("lang")]).orderBy("u", "doc_id").limit(2 * per_language * len(counts)).collect()
-    kept, out = dict.fromkeys(counts, 0), []
-    for r in rows:
-        if kept[r["lang"]] < per_language:
-            kept[r["lang"]] += 1
-            out.append((r["text"], r["lang"]))
-    return out
+    near = usable.withColumn("u", u).where(F.col("u") < limits[F.col("lang")])
+    # first who they are and how long, then the texts of those that are taken
+    listed = near.select("u", "doc_id", "lang", F.octet_length("text").alias("n"), F.xxhash64("text").alias("t")).orderBy("u", "doc_id", "t").limit(2 * per_language * len(counts)).collect()
+    kept, size, chosen = dict.fromkeys(counts, 0), dict.fromkeys(counts, 0), set()
+    for r in listed:
+        lang = r["lang"]
+        if kept[lang] < per_language and size[lang] < bytes_per_language:
+            kept[lang], size[lang] = kept[lang] + 1, size[lang] + r["n"]
+            chosen.add((r["doc_id"], r["t"], lang))
+    same = near.where(F.col("doc_id").isin(sorted({k[0] for k in chosen}))).select("doc_id", F.xxhash64("text").alias("t"), "lang", "text")
+    found = same.dropDuplicates(["doc_id", "t", "lang"]).orderBy("doc_id", "t", "lang").collect()
+    return [(r["text"], r["lang"]) for r in found if (r["doc_id"], r["t"], r["lang"]) in chosen]
 
 
 def _lettered(texts: pa.Array) -> np.ndarray:
@@ -195,6 +203,7 @@ def identified(docs: DataFrame, model: Model | None, ambiguous: float = AMBIGUOU
             doubt = letters & (score < ambiguous) if model is not None else np.zeros(b.num_rows, bool)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pred.tolist(), pa.string()), pa.array(score), pa.array(doubt)], [*b.schema.names, "lang_pred", "score", "ambiguous"])
 
+    small_batches(docs.sparkSession)
     fields = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
     return docs.mapInArrow(run, f"{fields}, lang_pred string, score double, ambiguous boolean")
 
