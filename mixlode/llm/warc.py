@@ -1,11 +1,17 @@
 """Legacy archive converter: ARC version 1 and 2 files to WARC 1.1.
 
 The converter reads an ARC file's version block, whose lines name the version and
-the header fields, then each record's header line and as many bytes as it
-declares.  From these it makes the WARC record: an identifier derived from the
-record (URN of a name-based UUID), the timestamp in WARC's form, the type
-(response, or revisit where an equal payload is kept by another record) and
-digests of block and payload.
+the header fields, then each record's header line and as many bytes as it declares;
+a version 2 record's offset, and its checksum where it is an MD5 digest, must hold.
+From these it makes the WARC records: a warcinfo record of the version block, and for
+each capture an identifier (URN of a UUID named by archive and place, so no two are
+alike), the timestamp in WARC's form, the type and digests of block and payload.
+Captures of HTTP are responses, or revisits where an equal payload is kept by another
+record; others (dns, say) are resources of the type that the ARC line declares.
+
+The reader measures payloads: lengths and digests of responses are of the bytes read
+back and must equal the declared ones, those of revisits are of the response that has
+the declared digest.
 
 Defined cases: a null html is an empty payload, a null url is written as "-"; a
 null page_id is kept as null and is a response only if all ids of its payload
@@ -16,16 +22,18 @@ an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from urllib.parse import quote
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mixlode.llm.common import stored
+from mixlode.llm.common import key_bits, passing, selected, small_batches, stored
 
 #: Payloads below this many bytes are never revisits.
 REVISIT_BYTES = 100
@@ -46,34 +54,48 @@ class Capture:
     ip: str
     date: str
     block: bytes
+    kind: str = "text/html"
+
+
+@dataclass(frozen=True)
+class Original:
+    """The response that a revisit refers to."""
+
+    page_id: int
+    url: str
+    date: str
 
 
 def arc_file(name: str, version: int, captures: list[Capture]) -> bytes:
     """An ARC file of this version."""
     lines = f"{version} 0 Archive\n{FIELDS[version]}\n".encode()
-    out = bytearray(_arc_record(version, f"filedesc://{name}", "0.0.0.0", "20000101000000", "text/plain", lines, name, 0))
+    out = bytearray(_arc_record(version, Capture(f"filedesc://{name}", "0.0.0.0", "20000101000000", lines, "text/plain"), name, 0))
     for c in captures:
         out += b"\n"
-        out += _arc_record(version, c.url, c.ip, c.date, "text/html", c.block, name, len(out))
+        out += _arc_record(version, c, name, len(out))
     return bytes(out + b"\n")
 
 
-def _arc_record(version: int, url: str, ip: str, date: str, kind: str, block: bytes, name: str, offset: int) -> bytes:
-    rest = f"{len(block)}" if version == 1 else f"200 {hashlib.md5(block).hexdigest()} - {offset} {name} {len(block)}"
-    return f"{url} {ip} {date} {kind} {rest}\n".encode() + block
+def _arc_record(version: int, c: Capture, name: str, offset: int) -> bytes:
+    rest = f"{len(c.block)}" if version == 1 else f"200 {hashlib.md5(c.block).hexdigest()} - {offset} {name} {len(c.block)}"
+    return f"{c.url} {c.ip} {c.date} {c.kind} {rest}\n".encode() + c.block
+
+
+def version_block(data: bytes) -> tuple[Capture, int]:
+    """An ARC file's first record, and where it ends."""
+    start = data.index(b"\n") + 1
+    url, ip, date, kind, *_, size = data[: start - 1].decode("utf-8").split(" ")
+    return Capture(url, ip, date, data[start : start + int(size)], kind), start + int(size)
 
 
 def parse_arc(data: bytes) -> Iterator[Capture]:
     """The captures of an ARC file of either version."""
-    start = data.index(b"\n") + 1
-    first = data[: start - 1].decode("utf-8").split(" ")
-    size = int(first[-1])
-    described = data[start : start + size].decode("utf-8").split("\n")
+    first, at = version_block(data)
+    described = first.block.decode("utf-8").split("\n")
     version = int(described[0].split(" ")[0])
     if version not in FIELDS:
         raise ValueError(f"ARC version {version} is unknown")
     fields = described[1].split(" ")
-    at = start + size
     while True:
         while data[at : at + 1] == b"\n":
             at += 1
@@ -85,9 +107,14 @@ def parse_arc(data: bytes) -> Iterator[Capture]:
             raise ValueError(f"an ARC header line has {len(values)} fields; the file declares {len(fields)}")
         head = dict(zip(fields, values, strict=True))
         length = int(head["Archive-length"])
-        if stop + 1 + length > len(data):
+        block = data[stop + 1 : stop + 1 + length]
+        if len(block) != length:
             raise ValueError("an ARC record ends before its declared length")
-        yield Capture(head["URL"], head["IP-address"], head["Archive-date"], data[stop + 1 : stop + 1 + length])
+        if head.get("Offset", "-").isdigit() and int(head["Offset"]) != at:
+            raise ValueError(f"an ARC record at {at} declares the offset {head['Offset']}")
+        if re.fullmatch("[0-9a-f]{32}", head.get("Checksum", "-")) and hashlib.md5(block).hexdigest() != head["Checksum"]:
+            raise ValueError("an ARC record does not match its checksum")
+        yield Capture(head["URL"], head["IP-address"], head["Archive-date"], block, head["Content-type"])
         at = stop + 1 + length
 
 
@@ -96,31 +123,45 @@ def http_block(page_id: int | None, payload: bytes) -> bytes:
     return f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n{key}Content-Length: {len(payload)}\r\n\r\n".encode() + payload
 
 
-def record_id(page_id: str | None, digest: str) -> str:
-    return f"<{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{digest}').urn}>"
+def record_id(archive: str, place: int) -> str:
+    return f"<{uuid.uuid5(uuid.NAMESPACE_URL, f'archive:{archive}#{place}').urn}>"
+
+
+def _timestamp(d: str) -> str:
+    return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
+
 
+def payload_of(block: bytes) -> bytes:
+    """What follows the head of an HTTP block (nothing where the head has no end); a whole block of another protocol."""
+    return block.partition(b"\r\n\r\n")[2] if block.startswith(b"HTTP/") else block
 
-def warc_record(c: Capture, refers_to: int | None) -> bytes:
-    """The WARC record of a capture; a revisit if refers_to names a page."""
-    head, _, payload = c.block.partition(b"\r\n\r\n")
-    page = next((line[11:].decode() for line in head.split(b"\r\n") if line.startswith(b"X-Page-Id: ")), None)
-    digest = hashlib.sha256(payload).hexdigest()
-    d = c.date
-    block = c.block if refers_to is None else head + b"\r\n\r\n"
-    lines = [
-        "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_id(page, digest)}", f"WARC-Date: {d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z",
-        f"WARC-Target-URI: {c.url}", f"WARC-IP-Address: {c.ip}", f"WARC-Payload-Digest: sha256:{digest}", f"WARC-Block-Digest: sha256:{hashlib.sha256(block).hexdigest() if refers_to is not None else _block_digest(head, payload)}", "Content-Type: application/http; msgtype=response",
+
+def _record(kind: str, name: str, date: str, content: str, block: bytes, more: list[str]) -> bytes:
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {name}", f"WARC-Date: {_timestamp(date)}", *more, f"WARC-Block-Digest: sha256:{hashlib.sha256(block).hexdigest()}", f"Content-Type: {content}", f"Content-Length: {len(block)}"]
+    return "\r\n".join([*lines, "", ""]).encode() + block + b"\r\n\r\n"
+
+
+def warc_record(c: Capture, name: str, original: Original | None = None) -> bytes:
+    """The WARC record of a capture; a revisit if an original is given."""
+    payload = payload_of(c.block)
+    about = [f"WARC-Target-URI: {c.url}", f"WARC-IP-Address: {c.ip}", f"WARC-Payload-Digest: sha256:{hashlib.sha256(payload).hexdigest()}"]
+    if not c.block.startswith(b"HTTP/"):
+        return _record("resource", name, c.date, c.kind, c.block, about)
+    http = "application/http; msgtype=response"
+    if original is None:
+        return _record("response", name, c.date, http, c.block, about)
+    about += [
+        "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To-Target-URI: {original.url}", f"WARC-Refers-To-Date: {_timestamp(original.date)}",
+        f"WARC-X-Refers-To-Page: {original.page_id}",
     ]
-    if refers_to is not None:
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(str(refers_to), digest)}", f"WARC-X-Refers-To-Page: {refers_to}"]
-    return "\r\n".join([*lines, f"Content-Length: {len(block)}", "", ""]).encode() + block + b"\r\n\r\n"
+    return _record("revisit", name, c.date, http, c.block[: len(c.block) - len(payload)], about)
 
 
-def _block_digest(head: bytes, payload: bytes) -> str:
-    h = hashlib.sha256(head)
-    h.update(b"\r\n\r\n")
-    h.update(payload)
-    return h.hexdigest()
+def warcinfo(first: Capture, archive: str) -> bytes:
+    """The warcinfo record of an ARC file's version block."""
+    lines = [f"description: {line}" for line in first.block.decode("utf-8").split("\n") if line]
+    block = "\r\n".join(["software: mixlode", "format: WARC File Format 1.1", *lines, ""]).encode()
+    return _record("warcinfo", record_id(archive, 0), first.date, "application/warc-fields", block, [f"WARC-Filename: {archive}"])
 
 
 @dataclass(frozen=True)
@@ -152,76 +193,117 @@ def parse_warc(data: bytes) -> Iterator[Record]:
         at = stop + 4 + size + 4
 
 
-def convert(data: bytes, refers: dict[int, int | None] | list[int | None]) -> bytes:
-    """A WARC file from an ARC file; refers: for the i-th capture, the page it refers to."""
-    return b"".join(warc_record(c, refers[i]) for i, c in enumerate(parse_arc(data)))
+def convert(data: bytes, originals: list[Original | None], archive: str) -> bytes:
+    """The WARC file named `archive` from an ARC file; originals: for the i-th capture, what it is a revisit of."""
+    first, _ = version_block(data)
+    return b"".join([warcinfo(first, archive), *(warc_record(c, record_id(archive, i + 1), originals[i]) for i, c in enumerate(parse_arc(data)))])
 
 
 def revisits(pages: DataFrame) -> DataFrame:
-    """page_id, refers_to of the rows whose payload an earlier page has."""
+    """page_id, d, refers_to, refers_url of the rows whose payload an earlier page has."""
     html = F.coalesce("html", F.lit(""))
-    narrow = pages.select("page_id", F.octet_length(html).alias("n"), F.sha2(html.cast("binary"), 256).alias("d")).where(F.col("n") >= REVISIT_BYTES)
-    first = narrow.groupBy("d").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    same = narrow.join(first, "d").where("refers_to is not null and not page_id <=> refers_to")
+    narrow = pages.select("page_id", "url", F.octet_length(html).alias("n"), F.sha2(html.cast("binary"), 256).alias("d")).where(F.col("n") >= REVISIT_BYTES)
+    first = narrow.groupBy("d").agg(F.min(F.struct(F.col("page_id").isNull().alias("no_id"), "page_id", "url")).alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    same = narrow.select("page_id", "d").join(first.select("d", F.col("first.page_id").alias("refers_to"), F.col("first.url").alias("refers_url")), "d").where("refers_to is not null and not page_id <=> refers_to")
     # ids that repeat with other payloads stay apart by the digest
-    return same.select("page_id", "d", "refers_to").distinct()
+    return same.distinct()
 
 
-def archives(pages: DataFrame, date: str = "20000101000000", ip: str = "0.0.0.0") -> DataFrame:
-    """name, version, warc (binary): the pages' ARC files, versions in turn, converted to WARC."""
-    links = stored(revisits(pages), "warc-revisits").select(F.col("page_id").alias("__p"), F.col("d").alias("__d"), "refers_to")
-    narrow = pages.select("page_id", "url", "html")
-    digest = F.sha2(F.coalesce("html", F.lit("")).cast("binary"), 256)
-    joined = narrow.join(links, F.col("page_id").eqNullSafe(F.col("__p")) & (digest == F.col("__d")), "left").select("page_id", "url", "html", "refers_to")
+def written_url(url: str | None) -> str:
+    return quote(url, safe="%/:=&?~#+!$,;'@()*[]") if url else "-"
+
+
+def _archiver(collection: str, date: str, ip: str, bits: np.ndarray | None) -> Callable:
+    """Streams (page_id, url, html, refers_to, refers_url, key); yields archives.  bits: rows that this filter lets through are passed over."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         task, number = TaskContext.get().partitionId(), 0
         held: list[Capture] = []
-        refers: list[int | None] = []
+        originals: list[Original | None] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
             nonlocal number, size
-            version, name = 1 + number % 2, f"{task:06d}-{number:06d}.arc"
-            data = convert(arc_file(name, version, held), refers)
+            version, name = 1 + number % 2, f"{collection}-{task:06d}-{number:06d}"
+            data = convert(arc_file(f"{name}.arc", version, held), originals, f"{name}.warc")
             number, size = number + 1, 0
             held.clear()
-            refers.clear()
-            return pa.RecordBatch.from_arrays([pa.array([name.replace(".arc", ".warc")]), pa.array([version], pa.int32()), pa.array([data], pa.binary())], ["name", "version", "warc"])
+            originals.clear()
+            return pa.RecordBatch.from_arrays([pa.array([f"{name}.warc"]), pa.array([version], pa.int32()), pa.array([data], pa.binary())], ["name", "version", "warc"])
 
         for b in batches:
-            for page_id, url, html, ref in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+            if bits is not None:
+                b = b.filter(pa.array(~passing(bits, b.column(5).to_numpy(zero_copy_only=False))))
+            for page_id, url, html, ref, ref_url in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
                 block = http_block(page_id, (html or "").encode("utf-8"))
-                held.append(Capture(quote(url, safe="%/:=&?~#+!$,;'@()*[]") if url else "-", ip, date, block))
-                refers.append(ref)
+                held.append(Capture(written_url(url), ip, date, block))
+                originals.append(None if ref is None else Original(ref, written_url(ref_url), date))
                 size += len(block)
                 if size >= ARCHIVE_BYTES:
                     yield flush()
         if held:
             yield flush()
 
-    return joined.mapInArrow(run, "name string, version int, warc binary")
+    return run
 
 
-def read_archives(files: DataFrame) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to, record_id, url of every record."""
+def archives(pages: DataFrame, collection: str = "pages", date: str = "20000101000000", ip: str = "0.0.0.0") -> DataFrame:
+    """name, version, warc (binary): the pages' ARC files, versions in turn, converted to WARC.
+
+    Only pages whose payload a filter of the revisits' digests lets through are shuffled.
+    """
+    small_batches(pages.sparkSession)
+    links = stored(revisits(pages), "warc-revisits")
+    digest = F.sha2(F.coalesce("html", F.lit("")).cast("binary"), 256)
+    keyed = pages.select("page_id", "url", "html", digest.alias("digest")).withColumn("key", F.xxhash64("digest"))
+    bits = key_bits(links.select(F.xxhash64("d")))
+    to = links.select(F.col("page_id").alias("p"), "d", "refers_to", "refers_url")
+    copies = selected(keyed, bits)
+    joined = copies.join(to.hint("merge"), F.col("page_id").eqNullSafe(F.col("p")) & (F.col("digest") == F.col("d")), "left").select("page_id", "url", "html", "refers_to", "refers_url", "key")
+    alone = keyed.select("page_id", "url", "html", F.lit(None).cast("long").alias("refers_to"), F.lit(None).cast("string").alias("refers_url"), "key")
+    schema = "name string, version int, warc binary"
+    return joined.mapInArrow(_archiver(f"{collection}-copies", date, ip, None), schema).unionByName(alone.mapInArrow(_archiver(collection, date, ip, bits), schema))
+
+
+_RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, url string"
+
+
+def records(files: DataFrame) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to, record_id, url of every capture.
+
+    Lengths and digests of payloads are measured, and an error is raised where a declared
+    one differs; a revisit has no payload of its own, hence a null length, and the
+    declared digest.
+    """
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string())
+    names = [f.split()[0] for f in _RECORD.split(", ")]
+
+    def row(r: Record) -> tuple:
+        payload, declared = payload_of(r.block), r.headers["WARC-Payload-Digest"].partition(":")[2]
+        if r.kind != "revisit" and hashlib.sha256(payload).hexdigest() != declared:
+            raise ValueError("a WARC payload does not match its digest")
+        head = r.block[: len(r.block) - len(payload)]
+        page = next((line[11:] for line in head.split(b"\r\n") if line.startswith(b"X-Page-Id: ")), None)
+        ref = r.headers.get("WARC-X-Refers-To-Page")
+        return (int(page) if page else None, None if r.kind == "revisit" else len(payload), declared, r.kind, int(ref) if ref else None, r.headers["WARC-Record-ID"], r.headers["WARC-Target-URI"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for data in b.column(0):
-                rows = []
-                for r in parse_warc(data.as_py()):
-                    head, _, _ = r.block.partition(b"\r\n\r\n")
-                    http = dict(line.split(b": ", 1) for line in head.split(b"\r\n")[1:])
-                    page, ref = http.get(b"X-Page-Id"), r.headers.get("WARC-X-Refers-To-Page")
-                    rows.append((int(page) if page else None, int(http[b"Content-Length"]), r.headers["WARC-Payload-Digest"].partition(":")[2], r.kind, int(ref) if ref else None, r.headers["WARC-Record-ID"], r.headers["WARC-Target-URI"]))
-                cols = list(zip(*rows, strict=True))
-                kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "url"])
-
-    return files.select("warc").mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, url string")
+                rows = [row(r) for r in parse_warc(data.as_py()) if r.kind != "warcinfo"]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
+
+    return files.select("warc").mapInArrow(run, _RECORD)
+
+
+def read_archives(files: DataFrame) -> DataFrame:
+    """The records, revisits with the measured length of the response whose payload they refer to."""
+    found = stored(records(files), "warc-records")
+    kept = found.where("record_type = 'response'").groupBy("payload_digest").agg(F.max("payload_bytes").alias("n"))
+    again = found.where("record_type = 'revisit'").join(kept, "payload_digest", "left").withColumn("payload_bytes", F.col("n"))
+    return found.where("record_type <> 'revisit'").unionByName(again.select(*found.columns))
 
 
 def op8_warc(spark, sf_dir: str) -> DataFrame:
