@@ -6,8 +6,9 @@ distance of the cosine limit, and sorted by cell, dimension after dimension.  Th
 sorted sequence is cut into blocks.  Pairs of blocks whose bounding boxes are
 further apart than epsilon are skipped; the others are joined by recursion on
 intervals of the sequence, which skips distant halves in the same way, down to
-leaves that are compared by exact cosines in double precision.  Projections on
-orthonormal axes never lengthen a distance, so nothing is missed.
+leaves that are compared by exact cosines in double precision.  A last dimension is the
+length of what the axes leave over.  Projections on orthonormal axes, and differences
+of such lengths, never lengthen a distance, so nothing is missed.
 
 Equal vectors are one vector with a multiplicity.  A leaf emits counts and a
 spanning set of links, never its pairs.
@@ -31,8 +32,8 @@ from pyspark.sql import functions as F
 
 from mixlode.llm.common import components, stored
 
-#: Vectors of one block: what a task holds is two blocks.
-BLOCK = 8192
+#: Bytes of the vectors of one block, as doubles: what a task holds is two blocks, a few times over.
+BLOCK_BYTES = 8 << 20
 #: Vectors that the principal dimensions are fitted on, and their number.
 SAMPLE = 4096
 AXES = 8
@@ -40,8 +41,10 @@ AXES = 8
 LEAF = 512
 #: Tasks that share the pairs of blocks, at most; a task streams its pairs one by one.
 PAIR_TASKS = 50_000
-#: Room for rounding in projections and boxes.
-SLACK = 1e-9
+#: Hits of a leaf up to which they are united pair by pair.
+FEW = 4096
+#: Room for rounding in projections and boxes; the root in a rest's length makes 1e-16 into 1e-8.
+SLACK = 1e-7
 
 
 def usable(x: str = "embedding"):
@@ -76,6 +79,12 @@ def _axes_of(axes: dict[int, np.ndarray], dim: int, k: int) -> np.ndarray:
     return axes.get(dim, np.eye(dim)[:, : min(k, dim)])
 
 
+def projected(x: np.ndarray, axes: np.ndarray) -> np.ndarray:
+    """Unit rows on the axes, and the length of the rest."""
+    p = x @ axes
+    return np.hstack([p, np.sqrt(np.maximum(0, 1 - (p * p).sum(axis=1, keepdims=True)))])
+
+
 def _gridded(axes: dict[int, np.ndarray], eps: float, k: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -94,7 +103,7 @@ class _Interval:
     """Vectors of the sequence with their projections."""
 
     def __init__(self, nodes: np.ndarray, mult: np.ndarray, x: np.ndarray, axes: np.ndarray) -> None:
-        self.nodes, self.mult, self.x, self.p = nodes, mult, x, x @ axes
+        self.nodes, self.mult, self.x, self.p = nodes, mult, x, projected(x, axes)
 
 
 def far(a: np.ndarray, b: np.ndarray, eps: float) -> bool:
@@ -160,15 +169,31 @@ class _Join:
         self.count_a[i:j] += hit @ self.b.mult[k:m]
         if not own:
             self.count_b[k:m] += self.a.mult[i:j] @ hit
-        shift = 0 if self.same else len(self.a.nodes)
-        for r in np.flatnonzero(hit.any(axis=1)).tolist():
-            cols = np.flatnonzero(hit[r]) + k + shift
-            x = self.find(i + r)
-            for c in cols.tolist():
-                y = self.find(c)
-                if x != y:
-                    x, y = min(x, y), max(x, y)
-                    self.parent[y] = x
+        shift = k + (0 if self.same else len(self.a.nodes))
+        if np.count_nonzero(hit) <= FEW:
+            for r, c in np.argwhere(hit).tolist():
+                self.unite(i + r, c + shift)
+            return
+        rest = hit.any(axis=1)
+        while rest.any():  # spreads from one row to its columns, to their rows, and so on
+            rows, cols = np.zeros(j - i, bool), np.zeros(m - k, bool)
+            front = np.array([int(rest.argmax())])
+            rows[front] = True
+            while len(front):
+                new = hit[front].any(axis=0) & ~cols
+                cols |= new
+                back = hit[:, new].any(axis=1) & ~rows
+                rows |= back
+                front = np.flatnonzero(back)
+            rest &= ~rows
+            first = i + int(rows.argmax())
+            for c in [*(np.flatnonzero(rows) + i).tolist(), *(np.flatnonzero(cols) + shift).tolist()]:
+                self.unite(first, c)
+
+    def unite(self, x: int, y: int) -> None:
+        x, y = self.find(x), self.find(y)
+        if x != y:
+            self.parent[max(x, y)] = min(x, y)
 
     def result(self) -> tuple[list[int], list[int], list[int]]:
         """Nodes with links, their counts, and the node that each is joined with."""
@@ -218,8 +243,8 @@ def _block_join(axes: dict[int, np.ndarray], cosine: float, eps: float, k: int)
     return run
 
 
-def near_vectors(table: DataFrame, cosine: float = 0.9, block: int = BLOCK, name: str = "vectors") -> DataFrame:
-    """vec_id, n_links, component_id, kept for every row of table (vec_id, embedding)."""
+def near_vectors(table: DataFrame, cosine: float = 0.9, block: int | None = None, name: str = "vectors") -> DataFrame:
+    """vec_id, n_links, component_id, kept for every row of table (vec_id, embedding); block: vectors of a block, else BLOCK_BYTES counts."""
     if not 0 < cosine <= 1:
         raise ValueError("cosine must lie in (0, 1]")
     rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
@@ -228,10 +253,11 @@ def near_vectors(table: DataFrame, cosine: float = 0.9, block: int = BLOCK, name
     node = F.when(good, F.xxhash64("embedding")).alias("node")
     ids = stored(marked.select("vec_id", node), f"{name}-ids")
     reps = stored(marked.where(good).groupBy("embedding").agg(F.count(F.lit(1)).alias("mult")).select(F.xxhash64("embedding").alias("node"), "mult", "embedding"), f"{name}-distinct")
-    total, eps = reps.count(), math.sqrt(max(0.0, 2 - 2 * cosine))
+    amount = reps.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("embedding")), F.lit(0)).alias("cells")).first()
+    eps = math.sqrt(max(0.0, 2 - 2 * cosine))
     axes = principal_axes(reps)
     grid = reps.mapInArrow(_gridded(axes, max(eps, 1e-6), AXES), "node long, mult long, embedding array<double>, dim int, cell array<long>")
-    blocks = max(1, -(-total // block))
+    blocks = max(1, -(-amount["n"] // block) if block else -(-8 * amount["cells"] // BLOCK_BYTES))
     ordered = grid.repartitionByRange(blocks, "dim", *[F.col("cell")[i] for i in range(AXES)], "node") if blocks > 1 else grid.coalesce(1)
     sequence = stored(ordered.withColumn("part", F.spark_partition_id()).sortWithinPartitions("dim", "cell", "node"), f"{name}-sequence")
     parts = 1 + (sequence.agg(F.max("part")).first()[0] or 0)
@@ -239,8 +265,8 @@ def near_vectors(table: DataFrame, cosine: float = 0.9, block: int = BLOCK, name
     sequence = sequence.withColumn("block", F.floor(F.col("part") * blocks / parts).cast("int")).drop("part")
 
     boxes = sequence.mapInArrow(_boxes(axes), "block int, dim int, low array<double>, high array<double>")
-    merged = boxes.groupBy("block", "dim").agg(F.array(*[F.min(F.col("low")[i]) for i in range(AXES)]).alias("low"), F.array(*[F.max(F.col("high")[i]) for i in range(AXES)]).alias("high"))
-    box = merged.collect()  # one small row for each BLOCK vectors and length
+    merged = boxes.groupBy("block", "dim").agg(F.array(*[F.min(F.col("low")[i]) for i in range(AXES + 1)]).alias("low"), F.array(*[F.max(F.col("high")[i]) for i in range(AXES + 1)]).alias("high"))
+    box = merged.collect()  # one small row for each block and length
     # the list of near pairs may grow with the square of the blocks: tasks make it, and it stays a table
     names = sequence.sparkSession.createDataFrame([(b,) for b in sorted({r["block"] for r in box})], "block int")
     near = stored(names.repartition(max(1, min(len(box), 1000)), "block").mapInArrow(_partners(box, eps), "block int, p int"), f"{name}-near")
@@ -268,8 +294,8 @@ def _boxes(axes: dict[int, np.ndarray]) -> Callable:
             block, dims = b.column("block").to_numpy(), b.column("dim").to_numpy()
             for key in set(zip(block.tolist(), dims.tolist(), strict=True)):
                 rows = np.flatnonzero((block == key[0]) & (dims == key[1]))
-                p = unit_rows(b.column("embedding").take(pa.array(rows)), key[1]) @ _axes_of(axes, key[1], AXES)
-                p = np.pad(p, ((0, 0), (0, AXES - p.shape[1])))
+                p = projected(unit_rows(b.column("embedding").take(pa.array(rows)), key[1]), _axes_of(axes, key[1], AXES))
+                p = np.pad(p, ((0, 0), (0, AXES + 1 - p.shape[1])))
                 low[key] = np.minimum(low[key], p.min(axis=0)) if key in low else p.min(axis=0)
                 high[key] = np.maximum(high[key], p.max(axis=0)) if key in high else p.max(axis=0)
         if low:
