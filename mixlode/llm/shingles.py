@@ -17,7 +17,7 @@ _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
 _BASE_INV = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _STEP = _U(0xD6E8FEB86659FD93)
-_CHUNK = 1 << 20
+_CHUNK = 1 << 18
 _powers: dict[str, np.ndarray] = {}
 
 
