@@ -53,16 +53,39 @@ def check_shards(got, n, total):
 
 
 def test_sharding(spark, odd, none, tmp_path):
-    check_shards(sharding.sharded(sharding.with_sizes(odd), ["doc_id", "text_crc32"], 3, bucket_rows=2).collect(), 3, 10)
+    got = sharding.sharded(odd, ["doc_id"], 3, bucket_rows=2).collect()
+    check_shards(got, 3, 10)
+    assert sorted((str(r.doc_id), str(r.text), r.size) for r in got) == sorted((str(r.doc_id), str(r.text), r.size) for r in odd.collect())
     assert sharding.sharded(none, ["doc_id"], 3).count() == 0
+    with pytest.raises(ValueError):
+        sharding.sharded(odd, ["doc_id"], 0)
+    sharding.write_shards(odd.where("doc_id is not null"), str(tmp_path / "out"), ["doc_id", "text"], 2)
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 8
+
+
+def test_sharding_query(spark):
     got = queries.queries()["op1_sharding"](spark, SF).collect()
     check_shards(got, 8, 200)
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     assert all(r["size"] == len(texts[r.doc_id].encode()) + 1 and r.text_crc32 == zlib.crc32(texts[r.doc_id].encode()) for r in got)
     again = queries.queries()["op1_sharding"](spark, SF).collect()
     assert sorted(map(tuple, got), key=str) == sorted(map(tuple, again), key=str)
-    sharding.write_shards(odd.where("doc_id is not null"), str(tmp_path / "out"), ["doc_id", "text"], 2)
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 8
+    order = [r.doc_id for r in sorted(got, key=lambda r: (r.slot, r.shard))]
+    assert abs(np.corrcoef(order, range(200))[0, 1]) < 0.3
+
+
+def test_sharding_ignores_layout(spark):
+    """Half of the rows have no id, and most of those are alike; wide rows; columns of every kind and name."""
+    rows = [(i if i % 2 else None, "same" if i % 2 == 0 and i % 8 else f"t{i}" * (3000 if i % 50 == 1 else 1), {"k": i % 3}, i % 4, float(i % 5)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, m map<string,int>, place int, __h double").withColumnsRenamed({"m": "h"})
+    df = df.withColumn("shard", F.lit("x"))
+    out = [sharding.sharded(df.repartition(n), ["doc_id"], 3, seed=4, bucket_bytes=1 << 16).collect() for n in (1, 7)]
+    for got in out:
+        check_shards(got, 3, 2000)
+    key = lambda r: (r.slot, r.shard, r.doc_id or -1, r.text, r.h["k"], r.place, r["__h"])
+    assert sorted(map(key, out[0])) == sorted(map(key, out[1]))
+    assert out[0][0].asDict().keys() == {"doc_id", "text", "h", "place", "__h", "shard", "slot", "law"}
+    assert sorted(k[2:] for k in map(key, out[0])) == sorted((i or -1, t, h["k"], p, x) for i, t, h, p, x in rows)
 
 
 # -- mixing -----------------------------------------------------------------
@@ -91,6 +114,51 @@ def test_mixing(spark, odd, none):
     assert all(r["size"] == len(re.findall(r"[^\x20\x09-\x0D]+", texts[r.doc_id])) for r in first)
 
 
+def by_hand(rows, weights, cap, seed):
+    """Taken words of each row: keys, order and budgets one by one."""
+    size = {}
+    for _, s, n, _ in rows:
+        size[s] = size.get(s, 0) + n
+    names = sorted(size, key=lambda s: (s is None, s or ""))
+    goal = dict(zip(names, mixing.targets([(s, size[s]) for s in names], [weights[i % len(weights)] for i in range(len(names))], 1.5, cap), strict=True))
+    out = []
+    for s in names:
+        own = []
+        for i, source, n, quality in rows:
+            if source == s:
+                u = (int(hashlib.md5(f"{seed}|{'' if i is None else i}|{n}".encode()).hexdigest()[:13], 16) + 1) / (1 << 52)
+                own.append((-np.log(u) / max(quality, 1e-3), n, i))
+        epochs, left = divmod(round(goal[s]), size[s]) if size[s] else (0, 0)
+        for _, n, i in sorted(own, key=lambda r: r[0]):
+            part = min(n, left)
+            left -= part
+            out.append((str(i), str(s), n, epochs * n + part))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("quality", [0.0001, 0.5, 100.0])
+def test_mixing_by_hand(spark, monkeypatch, quality):
+    """Any weight, cells of any size, and many rows without id that are alike."""
+    monkeypatch.setattr(mixing, "CELLS", 7)
+    rng = random.Random(2)
+    rows = [(i, rng.choice(["a", "b", "é", None]), rng.randrange(0, 40), quality * rng.choice([1, 2])) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, size long, quality double")
+    got = mixing.mixed(df.repartition(3), cap=2.0, seed=5).collect()
+    assert sorted((str(r.doc_id), str(r.source), r["size"], r.taken) for r in got) == by_hand(rows, (3, 1, 2), 2.0, 5)
+    alike = rows + [(None, "a", 6, quality)] * 500
+    got = mixing.mixed(spark.createDataFrame(alike, df.schema).repartition(5), seed=5).collect()
+    assert sorted((str(r.doc_id), str(r.source), r["size"], r.taken) for r in got) == by_hand(alike, (3, 1, 2), 2.0, 5)
+
+
+def test_quality_join(spark, monkeypatch, odd):
+    labels = spark.createDataFrame([(1, 1), (1, 0), (4, 1), (None, 1), (99, 1)], "doc_id long, quality int")
+    both = []
+    for most in (10, 0):
+        monkeypatch.setattr(mixing, "SMALL_LABELS", most)
+        both.append(sorted((str(r.doc_id), r["size"], r.quality) for r in mixing.with_quality(odd.withColumn("quality", F.lit("mine")), labels).collect()))
+    assert both[0] == both[1] and ("4", 24000, 1.5) in both[0] and ("1", 6, 1.0) in both[0] and ("None", 6, 1.0) in both[0]
+
+
 # -- jaccard ----------------------------------------------------------------
 def brute_components(pairs_of, ids):
     parent = list(range(len(ids)))
@@ -176,6 +244,45 @@ def test_shingles_ignore_batching():
     assert whole[0] == whole[3] and whole[1] == []
 
 
+def test_percolating_clusters(spark, monkeypatch):
+    """All candidates hang together by shared rare passages, but few texts link."""
+    monkeypatch.setattr(jaccard, "BLOCK", 6)
+    rng = random.Random(13)
+    passages = [[f"p{j}x{i}" for i in range(12)] for j in range(25)]
+    texts = []
+    for i in range(60):
+        t = [w for j in rng.sample(range(25), 5) for w in passages[j]]
+        texts.append(" ".join(t))
+        if i % 6 == 0:
+            t[3] = f"other{i}"
+            texts.append(" ".join(t))
+    got = jaccard.set_components(make_docs(spark, [(i, t, None, None) for i, t in enumerate(texts)]), 4, 80, 100).collect()
+    _, want = brute_jaccard(texts, list(range(len(texts))), 4, 80, 100)
+    assert {r.doc_id: r.component_id for r in got} == dict(enumerate(want)) and len(set(want)) < len(texts)
+
+
+def test_levels_stand_out_of_a_large_corpus():
+    """Cells that are all full still tell frequent shingles apart."""
+    total = np.random.default_rng(0).poisson(1_000_000, 4096)
+    total[:3] += [3000, 12_000, 500_000]
+    levels, hot = jaccard.levels_of(total)
+    assert hot[1] and hot[2] and hot.sum() == 2 and levels[2] > levels[1] > np.quantile(levels, 0.9)
+    levels, hot = jaccard.levels_of(np.array([0, 0, 0, 1, 3, 4096, 5000]))
+    assert hot.tolist() == [False] * 5 + [False, True] and (np.diff(levels) >= 0).all()
+
+
+def test_key_filter_and_numbers(spark):
+    df = spark.range(3000).select(F.xxhash64("id").alias("key"), "id")
+    bits = common.key_bits(df.where("id % 10 = 0").select("key"))
+    inside, outside = common.selected(df, bits), common.selected(df, bits, through=False)
+    assert inside.where("id % 10 = 0").count() == 300 and outside.count() + inside.count() == 3000 and inside.count() < 400
+    assert common.selected(df.union(df).coalesce(1), bits, once=["key"]).count() == inside.count()
+    assert not common.passing(common.key_bits(df.limit(0).select("key")), np.arange(9)).any()
+    rows = common.stored(spark.createDataFrame([(None if i % 3 else i % 2,) for i in range(300)], "k int").repartition(4), "t")
+    got = common.numbered(rows, ["k"], "n").collect()
+    assert {k: sorted(r.n for r in got if r.k == k) for k in (None, 0, 1)} == {None: list(range(200)), 0: list(range(50)), 1: list(range(50))}
+
+
 def test_components_contract(spark, monkeypatch):
     monkeypatch.setattr(common, "FINISH", 2)
     edges = [(i, i + 1) for i in range(100, 130)] + [(1, 2), (2, 3), (7, 7)]
@@ -227,7 +334,35 @@ def test_packing(spark, odd, none):
     whole = packing.sequences(packing.packed(parts, 64)).collect()
     assert sum(len(r.ids) for r in whole) == 4 * sum(r.length for r in got)
     assert packing.packed(common.stored(packing.pieces(none, *BPE), "t")).count() == 0
-    check_packed(queries.queries()["op4_packing"](spark, SF).collect(), 2048)
+
+
+def best_fit(lengths, capacity):
+    """Sequences of plain best-fit decreasing."""
+    import bisect
+
+    gaps, n = [], 0
+    for x in sorted(lengths, reverse=True):
+        i = bisect.bisect_left(gaps, x)
+        if i == len(gaps):
+            n += 1
+            bisect.insort(gaps, capacity - x)
+        else:
+            gap = gaps.pop(i)
+            bisect.insort(gaps, gap - x)
+    return n
+
+
+def test_packing_query_against_library(spark):
+    from tokenizers import Tokenizer
+
+    sf, library, want = "/root/testdata/sf0.01", Tokenizer.from_file(BPE[0]), []
+    for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect():
+        ids = np.array([*library.encode(r.text or "", add_special_tokens=False).ids, 0], "<u4")
+        cuts = [0, *range(len(ids) % 2048 or 2048, len(ids), 2048), len(ids)]
+        want += [(r.doc_id, i, a, z - a, zlib.crc32(ids[a:z].tobytes())) for i, (a, z) in enumerate(itertools.pairwise(cuts))]
+    got = queries.queries()["op4_packing"](spark, sf).collect()
+    assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == sorted(want)
+    assert check_packed(got, 2048) <= best_fit([w[3] for w in want], 2048)
 
 
 def test_encoder_equals_library():
@@ -257,6 +392,22 @@ def test_token_counts(spark, odd, none):
     assert tokencount.counted(none, path).count() == 0
 
 
+def test_token_count_query_against_library(spark):
+    import sentencepiece
+
+    sf, library = "/root/testdata/sf0.01", sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    got = {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in queries.queries()["op5_token_counts"](spark, sf).collect()}
+    assert got == {i: (len(t.encode()), n, n > 4096) for (i, t), n in zip(texts.items(), map(len, library.encode(list(texts.values()))), strict=True)}
+
+
+def test_long_units_are_not_kept():
+    own, enc = tokencount.counter(public_tokenizers.path("piece_bpe_32k.model")), packing.encoder(*BPE)
+    word = "QUJD" * 5000
+    assert own.text(word) == own.text(word + " a") - 1 and not any(len(u) > 99 for u in (*own.young, *own.old))
+    assert len(enc.text("a " + word)) > 4 and not any(len(u) > 99 for u in (*enc.young, *enc.old))
+
+
 # -- media ------------------------------------------------------------------
 def test_media_round_trip(spark, odd, none):
     got = mpeg.features(mpeg.with_media(odd), seek=True).collect()
@@ -270,6 +421,35 @@ def test_media_round_trip(spark, odd, none):
     assert mpeg.features(spark.createDataFrame([(1, None)], "doc_id long, media binary")).first().n_bytes is None
 
 
+def test_media_query(spark):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    for r in queries.queries()["op6_media"](spark, SF).collect():
+        p = mpeg.padded(texts[r.doc_id])
+        data = mpeg.encode(p)
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(texts[r.doc_id].encode()), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]))
+        assert (r.media_bytes, r.media_sha256) == (len(data), hashlib.sha256(data).hexdigest())
+        assert r.duration_samples == 1152 * -(-len(p) // 1152) and len(r.frame_offsets) == r.n_frames and r.frame_offsets[-1] == r.last_frame_offset
+        assert all(data[a : a + 2] == b"\xff\xfa" for a in r.frame_offsets)
+
+
+def test_media_layers():
+    """Layer I checksums are verified, for all modes; Layer II ones are counted as not verified; tags may follow frames."""
+    for mode, covered in ((0, 32), (1, 18), (2, 32), (3, 16)):
+        head = bytes([0xFF, 0xFE, 0x40, mode << 6])
+        h = mpeg.header(head, 0)
+        assert (h.layer, h.protected, h.covered) == (1, True, covered)
+        body = bytes(range(1, covered + 1))
+        frame = (head + mpeg.crc16(head[2:] + body).to_bytes(2, "big") + body).ljust(h.length, b"\0")
+        s = mpeg.scan(frame * 3 + b"APETAGEX" + bytes(20))
+        assert (len(s.offsets), s.protected, s.good, s.unverified) == (3, 3, 3, 0)
+        bad = bytearray(frame * 3)
+        bad[8] ^= 1
+        assert mpeg.scan(bytes(bad)).good == 2
+    head = bytes([0xFF, 0xFC, 0x80, 0xC0])
+    s = mpeg.scan(head.ljust(mpeg.header(head, 0).length, b"\0") * 4)
+    assert (len(s.offsets), s.protected, s.good, s.unverified) == (4, 4, 0, 4) and "crc=0/0 unverified=4" in mpeg.feature(s)
+
+
 def test_media_scanner():
     payload = mpeg.padded("\xff" * 900)
     data = mpeg.encode(payload)
@@ -295,6 +475,48 @@ def test_language_codes():
         assert len({tuple(r) for r in c.tolist()}) == n and all(abs(int(col.sum())) < n for col in c.T)
 
 
+def plain_decode(model, text):
+    """Language and score, trigram by trigram and bit by bit."""
+    fold = lambda c: c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c > 127 else 32
+    b = [fold(c) for c in f" {text}   ".encode()]
+    total = [0.0] * model.code.shape[1]
+    for i in range(len(b) - 2):
+        h = (b[i] * 0x9E3779B1 ^ b[i + 1] * 0x85EBCA77 ^ b[i + 2] * 0xC2B2AE3D) % 2**32
+        for bit, v in enumerate(model.table[(h * 0x27D4EB2F % 2**32) >> 17].tolist()):
+            total[bit] += v
+    n = len(b) - 2
+    loss = []
+    for word in model.code.tolist():
+        parts = []
+        for bit, c in enumerate(word):
+            margin = total[bit] / n * min(n, 256) ** 0.5 * model.slope[bit] + model.offset[bit]
+            parts.append(np.log1p(np.exp(-max(-30, min(30, margin)) * c)) * model.weight[bit])
+        loss.append(sum(parts))
+    best = int(np.argmin(loss))
+    return model.languages[best], 1 / sum(np.exp(loss[best] - x) for x in loss)
+
+
+def test_language_query_against_plain_decoding(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model, texts = langid.trained(docs), {r.doc_id: r.text for r in docs.collect()}
+    for r in queries.queries()["op7_language_id"](spark, SF).collect():
+        text = texts[r.doc_id]
+        if text is None or not any(c.isalpha() for c in text):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+        else:
+            lang, score = plain_decode(model, text)
+            assert r.score == pytest.approx(score, abs=1e-3) and (r.lang_pred == lang or score < 0.51)
+
+
+def test_training_sample_is_bounded(spark):
+    docs = spark.createDataFrame([(i, ("a" if i % 2 else "b") * 1000, "x" if i % 2 else "y", "text") for i in range(400)], "doc_id long, text string, lang string, u string")
+    got = langid.training_sample(docs, 50, 10_000)
+    assert {x: sum(lang == x for _, lang in got) for x in "xy"} == {"x": 10, "y": 10} and all(len(t) == 1000 for t, _ in got)
+    assert 4 <= len(langid.training_sample(docs, 5)) <= 10 and len(langid.training_sample(docs, 50, 1)) == 2
+    twice = docs.where("doc_id < 20").union(docs.where("doc_id < 20"))
+    assert len(langid.training_sample(twice)) == len(langid.training_sample(docs.where("doc_id < 20")))
+
+
 def test_languages(spark, odd, none):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = queries.queries()["op7_language_id"](spark, "/root/testdata/sf0.01")
@@ -316,13 +538,28 @@ def test_languages(spark, odd, none):
 @pytest.mark.parametrize("version", [1, 2])
 def test_arc_round_trip(version):
     caps = [warc.Capture("http://x/", "1.2.3.4", "20010203040506", warc.http_block(i, p)) for i, p in enumerate([b"", b"\n\nhttp://y/ 1 2 3 4\n", b"x" * 300])]
+    caps += [warc.Capture("dns:x", "1.2.3.4", "20010203040506", b"20010203040506\nx. 100 IN A 1.2.3.4\n\r\n\r\n.", "text/dns"), warc.Capture("http://z/", "1.2.3.4", "20010203040506", b"HTTP/1.0 204 No Content\r\nA: b"), caps[0]]
     data = warc.arc_file("f.arc", version, caps)
     assert list(warc.parse_arc(data)) == caps
-    records = list(warc.parse_warc(warc.convert(data, [None, None, 0])))
-    assert [r.kind for r in records] == ["response", "response", "revisit"] and records[0].headers["WARC-Date"] == "2001-02-03T04:05:06Z"
-    assert records[2].headers["WARC-Payload-Digest"] == "sha256:" + hashlib.sha256(b"x" * 300).hexdigest()
-    with pytest.raises(ValueError):
-        list(warc.parse_arc(data[:-100]))
+    info, *records = warc.parse_warc(warc.convert(data, [None, None, warc.Original(0, "http://x/", "20010203040506"), None, None, None], "f.warc"))
+    assert info.kind == "warcinfo" and info.headers["WARC-Filename"] == "f.warc" and f"description: {version} 0 Archive".encode() in info.block
+    assert [r.kind for r in records] == ["response", "response", "revisit", "resource", "response", "response"] and records[0].headers["WARC-Date"] == "2001-02-03T04:05:06Z"
+    assert records[2].headers["WARC-Payload-Digest"] == "sha256:" + hashlib.sha256(b"x" * 300).hexdigest() and records[2].headers["WARC-Refers-To-Target-URI"] == "http://x/"
+    assert records[3].block == caps[3].block and records[3].headers["Content-Type"] == "text/dns" and records[4].block == caps[4].block
+    assert records[4].headers["WARC-Payload-Digest"] == "sha256:" + hashlib.sha256(b"").hexdigest()
+    assert len({r.headers["WARC-Record-ID"] for r in (info, *records)}) == 7
+    for broken in (data[:-100], data.replace(b"HTTP/1.0 204", b"HTTP/1.0 205") if version == 2 else data[:-100], data.replace(b"http://x/ ", b"http://xx/ ", 1) if version == 2 else data[:-100]):
+        with pytest.raises(ValueError):
+            list(warc.parse_arc(broken))
+
+
+def test_payloads_are_measured(spark):
+    block = warc.http_block(5, b"y" * 200)
+    good = warc.warc_record(warc.Capture("u", "0.0.0.0", "20010203040506", block), "<urn:a>")
+    bad = good.replace(hashlib.sha256(b"y" * 200).hexdigest().encode(), hashlib.sha256(b"z").hexdigest().encode())
+    assert warc.records(spark.createDataFrame([(bytearray(good),)], "warc binary")).first().payload_bytes == 200
+    with pytest.raises(Exception, match="does not match its digest"):
+        warc.records(spark.createDataFrame([(bytearray(bad),)], "warc binary")).collect()
 
 
 def test_warc(spark):
@@ -332,10 +569,15 @@ def test_warc(spark):
     want = [(5, 120, "revisit", 3), (3, 120, "response", None), (9, 120, "revisit", 3), (4, 5, "response", None), (6, 5, "response", None), (7, 0, "response", None), (None, 120, "revisit", 3), (8, 100, "response", None), (8, 100, "response", None)]
     assert got == sorted(want, key=str)
     assert warc.read_archives(common.stored(warc.archives(pages.limit(0)), "t")).count() == 0
+    ids = [r.record_id for r in warc.read_archives(common.stored(warc.archives(pages), "t")).collect()]
+    assert len(ids) == len(set(ids)) == 9
+    long = spark.createDataFrame([(1, "u", "é" * 3_000_000, "x"), (2, "u", "é" * 3_000_000, "y"), (3, "v", "short", "z")], "page_id long, url string, html string, d string").withColumn("key", F.lit(1)).withColumn("refers_to", F.lit(7))
+    got = sorted(rows(warc.read_archives(common.stored(warc.archives(long), "t")).select("page_id", "payload_bytes", "record_type", "refers_to")))
+    assert got == [(1, 6_000_000, "response", None), (2, 6_000_000, "revisit", 1), (3, 5, "response", None)]
 
 
 # -- vectors ----------------------------------------------------------------
-@pytest.mark.parametrize("block", [8192, 40])
+@pytest.mark.parametrize("block", [None, 40])
 def test_vectors_against_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(vectors, "LEAF", 16)
     rng = np.random.default_rng(3)
@@ -351,6 +593,42 @@ def test_vectors_against_brute_force(spark, monkeypatch, block):
     assert got == {ids[i]: (int(hit[i].sum()) - 1, comp[i], ids[i] == comp[i]) for i in range(len(x))}
 
 
+def test_dense_vectors(spark):
+    """20,000 vectors that nearly all link: bounded time, whole counts."""
+    import time
+
+    rng = np.random.default_rng(5)
+    x = np.vstack([rng.normal(size=8) + rng.normal(scale=0.02, size=(19_990, 8)), rng.normal(size=(10, 8))]).astype(np.float32)
+    df = spark.createDataFrame(pa.table({"vec_id": pa.array(range(len(x))), "embedding": pa.array(list(x), pa.list_(pa.float32()))}))
+    began = time.time()
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_vectors(df, 0.9).collect()}
+    assert time.time() - began < 60
+    u = x.astype(float)
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    for i in (0, 7, 19_989, *range(19_990, 20_000)):
+        assert got[i][0] == int((u @ u[i] >= 0.9).sum()) - 1
+    assert {got[i][1] for i in range(19_990)} == {0}
+
+
+def test_leaf_components_agree(monkeypatch):
+    """The two ways to unite a leaf's hits, by pairs and by spreading, are one."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(90, 4))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    axes = np.eye(4)[:, :2]
+    out = []
+    for few in (0, 10**9):
+        monkeypatch.setattr(vectors, "FEW", few)
+        left, right = (vectors._Interval(np.arange(a, z), np.ones(z - a, np.int64), x[a:z], axes) for a, z in ((0, 50), (50, 90)))
+        for pair in ((left, None), (left, right)):
+            nodes, counts, roots = vectors._Join(*pair, 0.8, np.sqrt(0.4)).result()
+            parts = {}
+            for n, r in zip(nodes, roots, strict=True):
+                parts.setdefault(r, []).append(n)
+            out.append((nodes, counts, sorted(map(sorted, parts.values()))))
+    assert out[:2] == out[2:] and len(out[0][0]) > 10
+
+
 def test_vector_edges(spark):
     data = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [1.0, None]), (6, [float("nan"), 1.0]), (7, [float("inf"), 1.0]), (8, []), (9, [1.0, 0.0, 0.0]), (None, [-0.0, 1e-200]), (10, [0.0, 1e200])]
     df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
@@ -418,6 +696,24 @@ def test_copyright_notices(spark):
     assert [t for i, t in enumerate(notices + bodies) if (got[i] == "a b") != (i < len(notices))] == []
 
 
+def test_license_query_finds_texts(spark, tmp_path):
+    """The query over documents of which many are licences, against its SQL."""
+    import duckdb
+
+    cases = [(name, t) for name, forms in licenses.LICENCES.items() for form in forms for t in (form, form.upper(), f"Copyright (c) 2021 Some One\n\n{form}", form + " And more.", form.replace("license", "licence"), form * 2)]
+    cases += [(None, t) for t in ("", None, "word " * 200_000, "Copyright (c) 2020 me", cases[0][1][:-20])] + cases[:2]
+    docs = make_docs(spark, [(i, t, "en", "s") for i, (_, t) in enumerate(cases)])
+    docs.coalesce(2).write.parquet(str(tmp_path / "documents.parquet"))
+    got = licenses.op10_licenses(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(f"SELECT doc_id, digest, license_id FROM ({licenses.sql()})").fetchall()
+    assert sorted(rows(got.select("doc_id", "digest", "license_id"))) == sorted(want)
+    found = {r.doc_id: r.license_id for r in got.collect()}
+    hits = {n for n in found.values() if n}
+    assert hits == set(licenses.LICENCES) and sum(found[i] == name for i, (name, _) in enumerate(cases) if name) >= 3 * len(hits)
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_against_sql(spark, name):
     import glob

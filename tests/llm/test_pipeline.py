@@ -1,7 +1,14 @@
 """The pipeline's stages on their own inputs."""
 
+import collections
+import hashlib
+
+import numpy as np
+from pyspark.sql import functions as F
+
 import corpus_pipeline as pipeline
-from tests.llm.test_operators import brute_jaccard, check_packed, make_docs, near_copies
+from mixlode.llm import langid, mixing
+from tests.llm.test_operators import best_fit, brute_jaccard, check_packed, make_docs, near_copies, plain_decode
 
 SF = "/root/testdata/sf0.001"
 
@@ -22,6 +29,81 @@ def test_stages_keep_columns_and_decide(spark):
     check_packed(pipeline.pack(spark, mixed, SF).collect(), 2048)
 
 
+def test_language_stage_by_hand(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.trained(docs)
+    sure = {r.doc_id: plain_decode(model, r.text)[1] for r in docs.collect() if r.text and any(c.isalpha() for c in r.text)}
+    kept = {r.doc_id for r in pipeline.language(spark, docs, SF).collect()}
+    assert {i for i, s in sure.items() if s > langid.AMBIGUOUS + 1e-3} <= kept <= {i for i, s in sure.items() if s > langid.AMBIGUOUS - 1e-3}
+
+
+def taken_whole(docs, labels):
+    """How often each row of (doc_id, source, words) is in the mix, one by one."""
+    size = collections.Counter()
+    for _, s, n in docs:
+        size[s] += n
+    names = sorted(size, key=lambda s: (s is None, s or ""))
+    goal = mixing.targets([(s, size[s]) for s in names], [(3.0, 1.0, 2.0)[i % 3] for i in range(len(names))], 1.5, 2.0)
+    out = collections.Counter()
+    for s, target in zip(names, goal, strict=True):
+        epochs, left = divmod(round(target), size[s]) if size[s] else (0, 0)
+        own = []
+        for i, source, n in docs:
+            if source == s:
+                u = (int(hashlib.md5(f"2|{'' if i is None else i}|{n}".encode()).hexdigest()[:13], 16) + 1) / (1 << 52)
+                own.append((-np.log(u) / labels.get(i, 1.0), n, i))
+        for _, n, i in sorted(own, key=lambda r: r[0]):
+            reach = max(0, min(n, left))
+            left -= n
+            out[i] += epochs + (reach > 0 and 2 * reach >= n) if n else 0
+    return {i: n for i, n in out.items() if n}
+
+
+def test_mixing_stage_by_hand(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    marks = collections.defaultdict(list)
+    for r in spark.read.parquet(f"{SF}/labels.parquet").collect():
+        marks[r.doc_id].append(r.quality)
+    labels = {i: float(np.mean([q for q in v if q is not None]) + 0.5) for i, v in marks.items()}
+    rows = [(r.doc_id, r.source, len(mixing_words(r.text))) for r in docs.collect()]
+    got = collections.Counter(r.doc_id for r in pipeline.mix(spark, docs, SF).collect())
+    assert dict(got) == taken_whole(rows, labels)
+
+
+def mixing_words(text):
+    import re
+
+    return re.findall(mixing.WORD, text or "")
+
+
+def test_clashing_columns(spark):
+    """Columns named like those that the stages make within are carried as they are."""
+    names = ["r", "key", "text_key", "first", "times", "size", "quality", "part", "lang_pred", "score", "ambiguous", "d", "n", "col"]
+    a = "hello there friend of mine today and every day"
+    docs = make_docs(spark, [(i, f"{a} {i // 2}" if i % 2 else f"{a} {i // 2} and so on and on for {i} more", "en", "s") for i in range(40)])
+    docs = docs.drop("size").select("*", *[F.concat(F.lit(f"{c}-"), F.col("doc_id").cast("string")).alias(c) for c in names])
+    for name, stage in pipeline.STAGES[:3]:
+        got = stage(spark, docs, SF)
+        assert got.columns == docs.columns, name
+        some = got.collect()
+        assert some and all(r[c] == f"{c}-{r.doc_id}" for r in some for c in names), name
+    assert pipeline.STAGES[3][1](spark, docs, SF).count() == 40
+
+
+def test_long_and_null_rows(spark):
+    long = " ".join(f"word{i % 5003} tail{i % 17}" for i in range(30_000))
+    rows = [(None, None, None, None)] * 30 + [(None, "the same text again and again here", "en", None)] * 300 + [(1, long, "en", "a"), (2, long + " end", "en", "a"), (3, "", None, "b")]
+    docs = make_docs(spark, rows).repartition(4)
+    assert sorted(str(r.doc_id) for r in pipeline.near_duplicates(spark, docs, SF).collect()) == sorted(["None"] * 30 + ["None", "1", "3"])
+    mixed = pipeline.mix(spark, docs, SF)
+    same = mixed.where("text like 'the same%'").count()
+    assert mixed.where("text is null or text = ''").count() == 0 and 300 <= same <= 600
+    got = pipeline.pack(spark, docs, SF).collect()
+    assert len([r for r in got if r.doc_id is None]) == 330 and check_packed(got, 2048) <= best_fit([r.length for r in got], 2048)
+    model = langid.fit(["the same text", "un autre"], ["en", "fr"])
+    assert langid.identified(docs, model).where("lang_pred = 'und'").count() == 31
+
+
 def test_odd_rows(spark):
     rows = [(1, "hello there friend of mine today", "en", "a"), (1, "hello there friend of mine today", "en", "a"), (2, None, None, None), (3, "", "fr", None), (4, "bonjour monsieur le président de la", "fr", "b"), (None, "hello there friend of mine now", None, "a")]
     docs = make_docs(spark, rows)
@@ -46,4 +128,5 @@ def test_rows_without_own_id(spark):
 
 
 def test_run(spark):
-    check_packed(pipeline.run(spark, SF).collect(), 2048)
+    got = pipeline.run(spark, SF).collect()
+    assert check_packed(got, 2048) <= best_fit([r.length for r in got], 2048)
