@@ -10,13 +10,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mixlode.llm import jaccard, langid, mixing, packing
-from mixlode.llm.common import stored
+from mixlode.llm.common import key_bits, selected, small_batches, stored
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a letter and those whose language is ambiguous; trains on `docs`."""
-    found = langid.identified(docs, langid.trained(docs))
-    return found.where((F.col("lang_pred") != langid.UND) & ~F.col("ambiguous")).select(*docs.columns)
+    """Rejects documents without a letter and those whose language is ambiguous; trains on `docs`.
+
+    Null and empty texts have no letter and go; other columns are carried whatever their
+    names, and repeated rows stay repeated.  Without any labelled row nothing can be told
+    apart, and every document goes.
+    """
+    model = langid.trained(docs)
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("r")
+    found = langid.identified(docs.select("text", rest), model).where((F.col("lang_pred") != langid.UND) & ~F.col("ambiguous"))
+    return found.select(*[F.col("text") if c == "text" else F.col(f"r.`{c}`") for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,33 +31,39 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     A document is known by its id and its text's hash, so that null ids, and rows that
     repeat an id with another text, stand for themselves.  Rows equal in both are one
-    document; texts without words are in no group and all stay.
+    document, and the row that orders first stays; texts without words are in no group
+    and all stay.  Only texts that a filter of the decisions' keys lets through are shuffled.
     """
-    found = jaccard.first_of_component(docs, width=5, num=80, den=100, name="pipeline-jaccard").where("n_shingles > 0")
-    found = stored(found, "pipeline-groups")
-    drop = found.where("not (doc_id <=> component_id and text_key = component_key)").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__text")).distinct()
-    marked = docs.withColumn("__key", F.xxhash64("text"))
-    kept = marked.join(drop, marked.doc_id.eqNullSafe(drop["__id"]) & (marked["__key"] == drop["__text"]), "left_anti")
-    repeats = found.where("doc_id <=> component_id and text_key = component_key").groupBy("doc_id", "text_key").count().where("count > 1")
-    if not repeats.isEmpty():
-        worded = F.coalesce(F.col("text").rlike(mixing.WORD), F.lit(False))
-        kept = kept.where(worded).dropDuplicates(["doc_id", "__key"]).unionByName(kept.where(~worded))
-    return kept.drop("__key")
+    found = stored(jaccard.first_of_component(docs, width=5, num=80, den=100, name="pipeline-jaccard").where("n_shingles > 0"), "pipeline-groups")
+    own = F.expr("doc_id <=> component_id and text_key = component_key")
+    # narrow: what goes, and what is there more than once
+    verdicts = stored(found.groupBy("doc_id", "text_key").agg(F.first(own).alias("first"), F.count(F.lit(1)).alias("n")).where("not first or n > 1").select("doc_id", "text_key", "first"), "pipeline-verdicts")
+    keyed = docs.select(F.xxhash64("text").alias("key"), F.struct("*").alias("r"))
+    bits = key_bits(verdicts.select("text_key"))
+    through, rest = selected(keyed, bits), selected(keyed, bits, through=False)
+    decided = through.join(verdicts.hint("merge"), F.col("r.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("text_key")), "left")
+    once = decided.where("first").groupBy("r.doc_id", "key").agg(F.min("r").alias("r"))
+    return rest.select("r.*").unionByName(decided.where("first is null").select("r.*")).unionByName(once.select("r.*"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats each document as often as the mix takes it; the last, partial pass takes it whole from its middle on."""
+    """Repeats each document as often as the mix takes it; the last, partial pass takes it whole from its middle on.
+
+    Null ids and repeated rows are rows of their own; texts without words have no size,
+    and the mix takes none of them.  The plan reads narrow keys; the documents are not
+    shuffled but for the few at which a source's budget ends.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    taken = mixing.mixed(mixing.with_quality(docs, labels), seed=2, name="pipeline-mix", cut=False)
-    # rows equal in id, source and size are one lot of the mix, taken alike
-    lots = taken.groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"))
-    times = lots.agg(F.max(F.col("epochs") + (F.col("part") > 0).cast("long")).alias("__times"))
-    same = docs.doc_id.eqNullSafe(times["__id"]) & docs.source.eqNullSafe(times["__source"]) & (mixing.n_words(docs.text) == times["__size"])
-    return docs.join(times, same).where("__times > 0").withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int")))).select(*docs.columns)
+    sized = mixing.with_quality(docs.select("doc_id", "source", "text", F.struct("*").alias("r")), labels)
+    rows = sized.select("doc_id", "source", "size", mixing.sampling_key(2).alias("key"), "r")
+    shares = mixing.plan(stored(rows.select("source", "size", "key"), "pipeline-mix-keys"))
+    times = F.when(F.col("size") > 0, F.col("epochs") + (F.col("part") > 0).cast("long")).otherwise(0).cast("int")
+    taken = mixing.taken(rows, shares, cut=False).select("r", times.alias("times")).where("times > 0")
+    return taken.select("r", F.explode(F.sequence(F.lit(1), F.col("times")))).select("r.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places every piece of every document."""
+    """Places every piece of every document; null and empty texts are one piece that holds the end token only."""
     import public_tokenizers
 
     parts = packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
@@ -65,6 +78,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each result is written and read again."""
+    small_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
