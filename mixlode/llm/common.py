@@ -63,11 +63,11 @@ def numbered(df: DataFrame, keys: list[str], name: str) -> DataFrame:
     """Adds `name`: 0, 1, ... within rows of equal keys (nulls are equal), without a task for each key.
 
     Rows are counted within the partitions of `df` and the counts summed up, so a key
-    with many rows is spread over as many tasks as it has partitions.  `df` is read
-    twice and must read alike: pass a stored table.
+    with many rows is spread over as many tasks as it has partitions.  Rows are stored
+    with their partitions first, so both passes see the same ones.
     """
-    group = F.struct(*[F.col(k) for k in keys])
-    marked = df.select(group.alias("g"), F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("m"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("r"))
+    group, record = F.struct(*[F.col(k) for k in keys]), F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    marked = stored(df.select(group.alias("g"), F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("m"), record.alias("r")), "numbered")
     inner = F.row_number().over(Window.partitionBy("g", "p").orderBy("m"))
     upto = Window.partitionBy("g").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
     starts = marked.groupBy("g", "p").agg(F.count(F.lit(1)).alias("n")).select("g", "p", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("start"))

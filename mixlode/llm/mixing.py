@@ -129,7 +129,7 @@ def taken(rows: DataFrame, shares: list[Share], cut: bool = True) -> DataFrame:
     if all(s.rows <= 1 for s in shares):
         return with_part(placed, F.lit(0))
     tie = F.coalesce((F.col("key") == F.col("__edge")) & (F.col("__rows") > 1), F.lit(False))
-    tied = numbered(stored(placed.where(tie), "mixing-ties"), ["source"], "__i")  # equal keys: rows of one size
+    tied = numbered(placed.where(tie), ["source"], "__i")  # equal keys: rows of one size
     return with_part(placed.where(~tie), F.lit(0)).unionByName(with_part(tied, F.col("__i") * F.col("size")))
 
 

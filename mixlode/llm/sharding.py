@@ -68,7 +68,7 @@ def shuffled(df: DataFrame, keys: list[str], seed: int = 0, bucket_bytes: int =
     most = max(1, amount["n"] // buckets // 8)
     heavy = stored(df.select(key.alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > most).select("h"), "sharding-heavy")
     if not heavy.isEmpty():
-        whole = stored(hashed.join(heavy, "h", "left_semi").select(F.xxhash64(F.lit(seed), "r").alias("h"), "r"), "sharding-equal")
+        whole = hashed.join(heavy, "h", "left_semi").select(F.xxhash64(F.lit(seed), "r").alias("h"), "r")
         spread = numbered(whole, ["h"], "i").select(F.xxhash64(F.lit(seed), "h", "i").alias("h"), "r")
         hashed = hashed.join(heavy, "h", "left_anti").unionByName(spread)
     scattered = hashed.select(F.pmod(F.col("h"), F.lit(buckets)).alias("b"), F.struct(F.xxhash64("h").alias("h"), "r").alias("x"))

@@ -41,6 +41,8 @@ AXES = 8
 LEAF = 512
 #: Tasks that share the pairs of blocks, at most; a task streams its pairs one by one.
 PAIR_TASKS = 50_000
+#: Blocks whose boxes a task compares with those of as many others.
+BOX_TILE = 2048
 #: Hits of a leaf up to which they are united pair by pair.
 FEW = 4096
 #: Room for rounding in projections and boxes; the root in a rest's length makes 1e-16 into 1e-8.
@@ -266,10 +268,7 @@ def near_vectors(table: DataFrame, cosine: float = 0.9, block: int | None = None
 
     boxes = sequence.mapInArrow(_boxes(axes), "block int, dim int, low array<double>, high array<double>")
     merged = boxes.groupBy("block", "dim").agg(F.array(*[F.min(F.col("low")[i]) for i in range(AXES + 1)]).alias("low"), F.array(*[F.max(F.col("high")[i]) for i in range(AXES + 1)]).alias("high"))
-    box = merged.collect()  # one small row for each block and length
-    # the list of near pairs may grow with the square of the blocks: tasks make it, and it stays a table
-    names = sequence.sparkSession.createDataFrame([(b,) for b in sorted({r["block"] for r in box})], "block int")
-    near = stored(names.repartition(max(1, min(len(box), 1000)), "block").mapInArrow(_partners(box, eps), "block int, p int"), f"{name}-near")
+    near = stored(near_blocks(merged, blocks, eps), f"{name}-near")
     n_pairs = near.where("block <= p").count()
     pairs = sequence.join(near, "block").select(F.least("block", "p").alias("i"), F.greatest("block", "p").alias("j"), "block", "node", "mult", "embedding", "dim", "cell")
     sent = pairs.repartition(max(1, min(n_pairs, PAIR_TASKS)), "i", "j").sortWithinPartitions("i", "j", "block", "dim", "cell", "node").drop("cell")
@@ -305,23 +304,56 @@ def _boxes(axes: dict[int, np.ndarray]) -> Callable:
     return run
 
 
-def _partners(box: list, eps: float) -> Callable:
-    """Streams blocks; yields with each the blocks (itself included) that are not provably distant."""
-    dims = {}
-    for dim in {r["dim"] for r in box}:
-        of = [r for r in box if r["dim"] == dim]
-        dims[dim] = tuple(np.array([r[c] for r in of]) for c in ("block", "low", "high"))
+def near_blocks(boxes: DataFrame, blocks: int, eps: float, tile: int = BOX_TILE) -> DataFrame:
+    """(block, p): blocks and those, themselves included, that are not provably distant; boxes has a row for each block and length.
+
+    Boxes meet in tiles of `tile` blocks by `tile` blocks, so neither the driver nor a task holds them all.
+    """
+    tiles, own = -(-blocks // tile), F.floor(F.col("block") / tile).cast("int")
+    box = ["block", "dim", "low", "high"]
+    left = boxes.select(own.alias("i"), F.explode(F.sequence(own, F.lit(tiles - 1))).alias("j"), F.lit(0).alias("side"), *box)
+    right = boxes.select(F.explode(F.sequence(F.lit(0), own)).alias("i"), own.alias("j"), F.lit(1).alias("side"), *box)
+    sent = left.unionByName(right).repartition(min(tiles * (tiles + 1) // 2, PAIR_TASKS), "i", "j").sortWithinPartitions("i", "j", "side")
+    return sent.mapInArrow(_near_pairs(eps), "block int, p int")
+
+
+def _near_pairs(eps: float) -> Callable:
+    """Streams boxes sorted by tile; yields the near pairs of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        at = None
+
+        def pairs() -> Iterator[pa.RecordBatch]:
+            if not held:
+                return
+            t = pa.Table.from_batches(held).combine_chunks()
+            side, block, dims = (t[c].to_numpy() for c in ("side", "block", "dim"))
+            low, high = (np.array(t[c].to_pylist()) for c in ("low", "high"))
+            found = [np.stack([np.unique(block)] * 2)]
+            for dim in np.unique(dims):
+                a, b = (np.flatnonzero((dims == dim) & (side == s)) for s in (0, 1))
+                for r in a.tolist():
+                    gap = np.maximum(0, np.maximum(low[b] - high[r], low[r] - high[b]))
+                    p = block[b[(gap * gap).sum(axis=1) <= (eps + SLACK) ** 2]]
+                    found += [np.stack([np.full(len(p), block[r]), p]), np.stack([p, np.full(len(p), block[r])])]
+            both = np.unique(np.concatenate(found, axis=1), axis=1)
+            if at[0] != at[1]:  # a block with itself is of the tile on the diagonal
+                both = both[:, both[0] != both[1]]
+            yield pa.RecordBatch.from_arrays([pa.array(both[0], pa.int32()), pa.array(both[1], pa.int32())], ["block", "p"])
+
         for b in batches:
-            for block in b.column(0).to_pylist():
-                found = [np.array([block])]
-                for blocks, low, high in dims.values():
-                    for i in np.flatnonzero(blocks == block):
-                        gap = np.maximum(0, np.maximum(low - high[i], low[i] - high))
-                        found.append(blocks[(gap * gap).sum(axis=1) <= (eps + SLACK) ** 2])
-                p = np.unique(np.concatenate(found))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(p), block), pa.int32()), pa.array(p, pa.int32())], ["block", "p"])
+            i, j = b.column("i").to_numpy(), b.column("j").to_numpy()
+            cuts = [0, *(np.flatnonzero((i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1).tolist(), b.num_rows]
+            for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+                if x == y:
+                    continue
+                if (int(i[x]), int(j[x])) != at:
+                    yield from pairs()
+                    held.clear()
+                    at = (int(i[x]), int(j[x]))
+                held.append(b.slice(x, y - x))
+        yield from pairs()
 
     return run
 

@@ -203,6 +203,8 @@ def near_copies(seed, n=60):
 def test_jaccard_against_brute_force(spark, monkeypatch, block, hot):
     monkeypatch.setattr(jaccard, "BLOCK", block)
     monkeypatch.setattr(jaccard, "HOT", hot)
+    if hot < 10:  # components by contraction too
+        monkeypatch.setattr(common, "FINISH", 9)
     texts = near_copies(1) + near_copies(2, 9) + ["The One", "the one", "the one x", None, "", "  ", "A b c d e", "a B c d e"] + near_copies(1)[:5]
     ids = [3 * i % 101 for i in range(len(texts))]
     got = jaccard.set_components(make_docs(spark, [(i, t, None, None) for i, t in zip(ids, texts, strict=True)]).repartition(3), 5, 80, 100).collect()
@@ -278,8 +280,8 @@ def test_key_filter_and_numbers(spark):
     assert inside.where("id % 10 = 0").count() == 300 and outside.count() + inside.count() == 3000 and inside.count() < 400
     assert common.selected(df.union(df).coalesce(1), bits, once=["key"]).count() == inside.count()
     assert not common.passing(common.key_bits(df.limit(0).select("key")), np.arange(9)).any()
-    rows = common.stored(spark.createDataFrame([(None if i % 3 else i % 2,) for i in range(300)], "k int").repartition(4), "t")
-    got = common.numbered(rows, ["k"], "n").collect()
+    alike = spark.createDataFrame([(None if i % 3 else i % 2,) for i in range(300)], "k int").repartition(4)
+    got = common.numbered(alike, ["k"], "n").collect()
     assert {k: sorted(r.n for r in got if r.k == k) for k in (None, 0, 1)} == {None: list(range(200)), 0: list(range(50)), 1: list(range(50))}
 
 
@@ -580,6 +582,8 @@ def test_warc(spark):
 @pytest.mark.parametrize("block", [None, 40])
 def test_vectors_against_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(vectors, "LEAF", 16)
+    if block:  # components by contraction too
+        monkeypatch.setattr(common, "FINISH", 9)
     rng = np.random.default_rng(3)
     base = rng.normal(size=(12, 6))
     x = np.vstack([base[rng.integers(0, 12, 150)] + rng.normal(scale=0.25, size=(150, 6)), rng.normal(size=(60, 6))])
@@ -610,6 +614,26 @@ def test_dense_vectors(spark):
     assert {got[i][1] for i in range(19_990)} == {0}
 
 
+def test_near_blocks_in_tiles(spark):
+    """Tiles of boxes give the pairs that all boxes together give."""
+    rng = np.random.default_rng(9)
+    low = rng.uniform(-1, 1, (30, vectors.AXES + 1))
+    high = low + rng.uniform(0, 0.4, low.shape)
+    dims = [2 + i % 2 for i in range(30)] + [3]
+    low, high, block = np.vstack([low, low[:1]]), np.vstack([high, high[:1]]), [*range(30), 0]
+    boxes = spark.createDataFrame([(b, d, x.tolist(), y.tolist()) for b, d, x, y in zip(block, dims, low, high, strict=True)], "block int, dim int, low array<double>, high array<double>")
+    want = {(b, b) for b in block}
+    for i in range(31):
+        for j in range(31):
+            gap = np.maximum(0, np.maximum(low[i] - high[j], low[j] - high[i]))
+            if dims[i] == dims[j] and (gap**2).sum() <= 1.2**2:
+                want.add((block[i], block[j]))
+    for tile in (7, 100):
+        got = rows(vectors.near_blocks(boxes, 30, 1.2, tile))
+        assert len(got) == len(set(got)) and set(got) == want
+    assert 40 < len(want) < 900
+
+
 def test_leaf_components_agree(monkeypatch):
     """The two ways to unite a leaf's hits, by pairs and by spreading, are one."""
     rng = np.random.default_rng(6)
@@ -648,6 +672,28 @@ def test_licenses(spark, none):
     assert licenses.scanned(none).count() == 0
 
 
+def test_license_ties(spark):
+    """Two licences of one canonical text: the first by name; repeated rows alike."""
+    docs = make_docs(spark, [(1, "same TEXT", None, None), (1, "same TEXT", None, None), (None, "Same, text", None, None)]).withColumn("digest", F.lit("x")).withColumn("license_id", F.lit("y"))
+    got = licenses.scanned(docs, {"B": ["Same text"], "A": ["same  text!"]}, {"C": [hashlib.sha256(b"same text").hexdigest()]}).collect()
+    assert [r.license_id for r in got] == ["A"] * 3 and {r.digest for r in got} == {hashlib.sha256(b"same text").hexdigest()}
+
+
+def test_clashing_columns(spark, odd):
+    """Columns named like results, or like what operators make within, don't matter."""
+    names = ["lang_pred", "score", "ambiguous", "u", "piece", "start", "length", "ids", "__r", "g", "p", "media", "feature", "n_bytes", "n_tokens", "text_key", "key", "sid", "n", "cells", "target", "taken", "__s", "quality"]
+    docs = odd.select("*", *[F.lit("mine").alias(c) for c in names])
+    model, path = langid.fit(["hello there", "bonjour monsieur"], ["en", "fr"]), public_tokenizers.path("piece_bpe_32k.model")
+    same = [
+        lambda d: langid.identified(d, model).select("doc_id", "lang_pred", "score", "ambiguous"), lambda d: tokencount.counted(d, path), lambda d: packing.pieces(d, *BPE, capacity=64),
+        lambda d: mpeg.features(mpeg.with_media(d)), lambda d: jaccard.set_components(d, 4, 85, 100), lambda d: mixing.mixed(mixing.with_quality(d, None)),
+    ]
+    for f in same:
+        assert sorted(map(str, f(docs).collect())) == sorted(map(str, f(odd).collect()))
+    carried = langid.identified(docs, model)
+    assert carried.columns[-3:] == ["lang_pred", "score", "ambiguous"] and {r.sid for r in carried.collect()} == {"mine"}
+
+
 def rewrapped(text, width, lead=""):
     """The paragraphs of a text at a width; lines that are notices stay as they are."""
     out = []
