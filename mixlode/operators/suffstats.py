@@ -2,8 +2,9 @@
 
 `suffstats` is a plain aggregate of built-in expressions (small d, composes with
 SQL).  `gather` is what training uses: every task folds its rows into one row
-with matrix products, and those rows are merged in two levels, so neither the
-driver nor a single task ever sees one row per input partition of a large job.
+with matrix products, and those rows are merged in two levels where they are many,
+so neither the driver nor a single task ever sees one row per input partition of a
+large job.
 """
 
 from __future__ import annotations
@@ -63,6 +64,8 @@ def suffstats(df: DataFrame, weights, components, features: str = "features") ->
     return rows.agg(*sums)
 
 
+#: Bytes of partial statistics that the driver merges by itself.
+DIRECT_BYTES = 8 << 20
 _PARTIAL = "n long, loss double, cells array<double>"
 
 
@@ -75,8 +78,12 @@ def _points(column: pa.Array, dim: int) -> np.ndarray:
     return x.reshape(-1, dim)
 
 
-def gather(df: DataFrame, weights, components, features: str = "features") -> Stats:
-    """The statistics of a DataFrame, for the driver."""
+def gather(df: DataFrame, weights, components, features: str = "features", partitions: int | None = None) -> Stats:
+    """The statistics of a DataFrame, for the driver.
+
+    partitions: how many the DataFrame has, if known.  Where their rows make DIRECT_BYTES
+    at most, they go to the driver as they are; else a second level merges them first.
+    """
     k, d = len(components), components[0].dim
     shape = (k, d + 1, d + 1)
 
@@ -103,9 +110,11 @@ def gather(df: DataFrame, weights, components, features: str = "features") -> St
             yield row(n, loss, cells)
 
     parts = df.select(F.col(features).cast("array<double>").alias("x")).mapInArrow(partial, _PARTIAL)
-    width = max(1, math.isqrt(df.sparkSession.sparkContext.defaultParallelism * 4))
-    got = parts.repartition(width).mapInArrow(merge, _PARTIAL).collect()
-    if not got:
+    if partitions is None or partitions * (math.prod(shape) + 2) * 8 > DIRECT_BYTES:
+        width = max(1, math.isqrt(df.sparkSession.sparkContext.defaultParallelism * 4))
+        parts = parts.repartition(width).mapInArrow(merge, _PARTIAL)
+    got = parts.toArrow()
+    if not got.num_rows:
         return Stats(0, 0.0, np.zeros(shape))
-    cells = sum(np.array(r["cells"]) for r in got)
-    return Stats(sum(r["n"] for r in got), sum(r["loss"] for r in got), cells.reshape(shape))
+    cells = got["cells"].combine_chunks().flatten().to_numpy().reshape(got.num_rows, -1).sum(axis=0)
+    return Stats(sum(got["n"].to_pylist()), math.fsum(got["loss"].to_pylist()), cells.reshape(shape))

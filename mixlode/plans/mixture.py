@@ -175,15 +175,15 @@ class GradientMixture:
         """Up to max_iter ascent iterations on a DataFrame; empty input changes nothing."""
         data = df.select(self.features, *self.sample_keys).persist()
         try:
-            total = data.count()
-            if not total:
-                return self
-            fraction = batch_fraction(self.batch_size, total)
+            fraction = 1.0 if self.batch_size is None else batch_fraction(self.batch_size, data.count())
+            partitions = data.rdd.getNumPartitions()
             rate, new, old, iteration, empty = self.optimizer.learning_rate, 1.0, 0.0, 0, 0
             while iteration < self.max_iter and abs(new - old) > self.tol:
                 began = time.time()
                 s = self.state
-                stats = gather(take_batch(data, fraction, self.sampling_seed + s.batches, self.sample_keys), s.weights, s.components, self.features)
+                stats = gather(take_batch(data, fraction, self.sampling_seed + s.batches, self.sample_keys), s.weights, s.components, self.features, partitions)
+                if not stats.n and fraction >= 1:  # no rows at all
+                    return self
                 self.state = s = replace(s, batches=s.batches + 1)
                 if not stats.n:
                     empty += 1

@@ -277,6 +277,14 @@ def _step_local() -> str:
     return a.sql(8)
 
 
+def _step_local_batches() -> str:
+    a = _Ascent(1, GradientAscent(shrinkage=1.0))
+    a.start(Q.BALANCE_WEIGHTS, [[m] for m in Q.BALANCE_MEANS], [[[v]] for v in Q.BALANCE_VARS], (1.0, 1.0))
+    for t in range(3):
+        a.iterate(t, f"SELECT x1 FROM (SELECT c_acctbal / 1000 AS x1, (row_number() OVER (ORDER BY c_custkey) - 1) // ((count(*) OVER () + 2) // 3) AS batch FROM customer) WHERE batch = {t}")
+    return a.sql(3)
+
+
 def _trajectory() -> str:
     a = _Ascent(2, GradientAscent())
     a.start(Q.WEIGHTS, Q.MEANS, Q.COVS, (1.0, 1.0))
@@ -300,6 +308,14 @@ def _scalars() -> str:
     return " UNION ALL ".join(rows)
 
 
+def _rule_settings() -> str:
+    common = (("learning_rate", "0.9"), ("min_learning_rate", "0.01"), ("shrinkage", "round(power(0.5::DOUBLE, 0.05::DOUBLE), 9)"))
+    own = {"GradientAscent": (), "Momentum": (("beta", "0.55"),), "Nesterov": (("gamma", "0.6"),), "Adam": (("beta1", "0.5"), ("beta2", "0.1"), ("eps", "1e-8")), "Adamax": (("beta1", "0.9"), ("beta2", "0.999"), ("eps", "1e-8"))}
+    rows = [(rule, *x) for rule, more in own.items() for x in (*common, *more)]
+    rows += [("model", "max_iter", "100"), ("model", "tol", "1e-6"), ("model", "sampling_seed", "0"), ("model, set", "max_iter", "7"), ("model, set", "tol", "0.25"), ("model, set", "sampling_seed", "3")]
+    return "SELECT * FROM (VALUES " + ", ".join(f"('{r}', '{n}', CAST({v} AS DOUBLE))" for r, n, v in rows) + ") v(rule, setting, value)"
+
+
 def oracle_sql() -> dict[str, str]:
     soft = _soft(POINTS)
     far = "SELECT l_orderkey, l_linenumber, l_quantity + 1e6 AS x1, l_extendedprice - 1e9 AS x2 FROM lineitem"
@@ -319,5 +335,5 @@ def oracle_sql() -> dict[str, str]:
         "export_spark_gmm": f"SELECT l_orderkey, l_linenumber, round(p1, 6) AS p1, {_HARD} AS prediction, true AS agrees FROM ({soft})",
         "predict_odd_points": f"SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber BETWEEN 2 AND 7 THEN NULL ELSE round(p1, 6) END AS p1, CASE WHEN l_linenumber BETWEEN 2 AND 7 THEN NULL ELSE round(p2, 6) END AS p2, CASE WHEN l_linenumber BETWEEN 2 AND 7 THEN NULL ELSE {_HARD} END AS prediction FROM ({soft})",
         "text_points": "SELECT l_quantity AS x1, count(*) AS n, round(sum(l_extendedprice), 2) AS x2 FROM lineitem GROUP BY 1",
-        "kmeans_init": _kmeans_init(), "fit_lineitem": _fit_lineitem(), "step_minibatch": _minibatch(), "step_local": _step_local(), "trajectory_ga_3": _trajectory(), "predict_singles": _singles(), "component_scalars": _scalars(),
+        "kmeans_init": _kmeans_init(), "fit_lineitem": _fit_lineitem(), "step_minibatch": _minibatch(), "step_local": _step_local(), "step_local_batches": _step_local_batches(), "stream_label_events": f"SELECT event_id, prediction FROM ({_events()})", "trajectory_ga_3": _trajectory(), "predict_singles": _singles(), "component_scalars": _scalars(), "rule_settings": _rule_settings(),
     } | {name: _step(*how) for name, how in Q.STEPS.items()}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import fields
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -201,6 +202,15 @@ def stream_predict_events(spark, sf_dir):
     return p.select("event_id", r6(F.col("probability")[0]).alias("p1"), r6(F.col("probability")[1]).alias("p2"), label_of().alias("prediction"))
 
 
+def stream_label_events(spark, sf_dir):
+    """Micro-batches labelled in foreachBatch, gathered in a table."""
+    base = shared_folder(spark, "labelled")
+    stream = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")
+    query = OnlineMixture(event_model()).score(event_points(stream), lambda df, b: df.write.mode("append").parquet(f"{base}/out"), f"{base}/checkpoint")
+    query.awaitTermination()
+    return spark.read.parquet(f"{base}/out").select("event_id", "prediction")
+
+
 def export_spark_gmm(spark, sf_dir):
     """Scores of the exported Spark ML model, next to our own."""
     from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -257,6 +267,15 @@ def step_local(spark, sf_dir):
     return state_frame(spark, model.step_local(points).state)
 
 
+def step_local_batches(spark, sf_dir):
+    """One epoch of local ascent in three batches, of all customers in the order of their keys; see step_local for the size."""
+    df = with_features(table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_acctbal") / 1000).alias("b")), "b")
+    points = df.orderBy("c_custkey").select(F.col("features")[0].alias("b")).toArrow()["b"].to_numpy().reshape(-1, 1)
+    third = max(1, -(-len(points) // 3))
+    model = GradientMixture.from_params(BALANCE_WEIGHTS, [[m] for m in BALANCE_MEANS], [[[v]] for v in BALANCE_VARS], batch_size=third, max_iter=3, tol=1e-300)
+    return state_frame(spark, model.step_local(points).state)
+
+
 def predict_odd_points(spark, sf_dir):
     """Points that are null, short, long, or hold a null, NaN or infinite element have null results."""
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
@@ -307,6 +326,19 @@ def component_scalars(spark, sf_dir):
 HALVE = (5, 40)
 
 
+def rule_settings(spark, sf_dir):
+    """The settings of every ascent rule and of the model, as they are by default and after they are set."""
+    rows = []
+    for rule in (GradientAscent(), Momentum(), Nesterov(), Adam(), Adamax()):
+        rows += [(type(rule).__name__, f.name, round(float(getattr(rule, f.name)), 9)) for f in fields(rule) if isinstance(getattr(rule, f.name), float)]
+    model = GradientMixture(MixtureState(np.array(WEIGHTS), components()))
+    names = ("max_iter", "tol", "sampling_seed")
+    rows += [("model", name, float(getattr(model, name))) for name in names]
+    model.max_iter, model.tol, model.sampling_seed = 7, 0.25, 3
+    rows += [("model, set", name, float(getattr(model, name))) for name in names]
+    return spark.createDataFrame(rows, "rule string, setting string, value double")
+
+
 def trajectory_ga_3(spark, sf_dir):
     """The parameters before each of three iterations."""
     model = GradientMixture(MixtureState(np.array(WEIGHTS), components()), max_iter=3, tol=1e-300, trace=True)
@@ -317,7 +349,7 @@ def trajectory_ga_3(spark, sf_dir):
 def queries() -> dict[str, Query]:
     plain = [
         predict_soft_lineitem, predict_hard_lineitem, label_histogram, logpdf_points, gconcave_pdf_points, suffstats_2d, outlier_uniform, reg_values,
-        init_stats_fixed_centers, predict_embeddings_diag, stream_train_events, stream_predict_events, export_spark_gmm, kmeans_init, fit_lineitem, fit_embeddings, step_minibatch, step_local,
-        predict_odd_points, text_points, predict_singles, component_scalars, trajectory_ga_3,
+        init_stats_fixed_centers, predict_embeddings_diag, stream_train_events, stream_predict_events, stream_label_events, export_spark_gmm, kmeans_init, fit_lineitem, fit_embeddings, step_minibatch, step_local, step_local_batches,
+        predict_odd_points, text_points, predict_singles, component_scalars, rule_settings, trajectory_ga_3,
     ]
     return {q.__name__: q for q in plain} | {name: stepped(*how) for name, how in STEPS.items()}

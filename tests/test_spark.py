@@ -36,6 +36,8 @@ def test_statistics_agree(spark, points):
     m = model()
     df = local_points(spark, points).repartition(7)
     local, far = fold(points, m.weights, m.components), gather(df, m.weights, m.components)
+    near = gather(df, m.weights, m.components, partitions=7)
+    assert near.n == 500 and np.allclose(near.outer, local.outer) and near.loss == pytest.approx(local.loss)
     assert far.n == 500 and np.allclose(far.outer, local.outer) and far.loss == pytest.approx(local.loss)
     row = suffstats(df, m.weights, m.components).first()
     assert row["n"] == 500 and row["outer_2_12"] == pytest.approx(local.outer[1, 0, 1]) and row["wgrad_1"] == pytest.approx(local.weights_gradient(m.weights)[0])
