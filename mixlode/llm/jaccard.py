@@ -10,9 +10,13 @@ union.  The join is exact (up to collisions of 64-bit hashes).
    share one.  Index lists are sorted by set size and position.  In a list, a block
    is the sets of one size; the two sizes of a pair of blocks give the last position
    from which the required overlap can still be reached, and all entries behind it
-   are skipped at once.  What remains of two blocks is joined into one cluster, entry
-   by entry and not pair by pair.  Hot lists are split by a salt, reduced to one
-   entry for each size and position, and only these meet.
+   are skipped at once.  Two sets of a list are candidates unless their parity maps
+   (see `parities`) rule out a link, so texts that share a passage only are no candidates,
+   however many they are.  Short lists give pairs, which meet their maps; in lists of more
+   than LONG entries the entries do.  Hot lists are split by a salt, reduced to one entry
+   for each size and position, and only these meet; what remains of two blocks there is
+   joined entry by entry, not pair by pair, and without maps.  Candidates that hang
+   together are a cluster.
 3. Sets of a cluster are compared.  A set's answers (its overlaps with all others) are
    derived from the computed answers of the set most like it, by the index lists of the
    few shingles in which the two differ; see `linked`.
@@ -45,6 +49,8 @@ BLOCK = 512
 BLOCK_SHINGLES = 2_000_000
 #: Cells of the frequency sketch, and of one of its slices.
 CELL_BITS, SLICE_BITS = 20, 16
+#: Entries of a list up to which it gives pairs.
+LONG = 16
 #: A list is hot from this count on, whatever the size of the corpus.
 HOT = 4096
 SALTS = 64
@@ -69,6 +75,34 @@ def signature(hashes: np.ndarray) -> int:
     return int(mix64(total).view(np.int64)[0])
 
 
+def parities(s: np.ndarray) -> bytes:
+    """A set's parity map: for each of a power of two of places, at least one a shingle, whether an odd number of shingles falls there.
+
+    Two maps differ in no more places than their sets in shingles.
+    """
+    places = max(64, 1 << (len(s) - 1).bit_length())
+    return np.packbits((np.bincount((s & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1).astype(bool), bitorder="little").tobytes()
+
+
+def folded(maps: np.ndarray, words: int) -> np.ndarray:
+    """Parity maps (rows of 64-bit words) on fewer places."""
+    while maps.shape[1] > words:
+        half = maps.shape[1] // 2
+        maps = maps[:, :half] ^ maps[:, half:]
+    return maps
+
+
+def may_link(a: np.ndarray, maps_a: np.ndarray, b: np.ndarray, maps_b: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Whether sets of these sizes and parity maps, row by row, can have the overlap that they need to link."""
+    words = min(maps_a.shape[1], maps_b.shape[1])
+    apart = np.bitwise_count(folded(maps_a, words) ^ folded(maps_b, words)).sum(axis=1, dtype=np.int64)
+    return apart <= a + b - 2 * needed(a, b, num, den)
+
+
+def _maps(blobs: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(blobs), "<u8").reshape(len(blobs), -1)
+
+
 def _summaries(width: int) -> Callable:
     cells, piece = 1 << CELL_BITS, 1 << SLICE_BITS
 
@@ -76,17 +110,18 @@ def _summaries(width: int) -> Callable:
         sketch, seen = np.zeros(cells, np.int64), set()
 
         def batch(ids, keys, sizes, sids, blobs):
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sids, pa.int64()), pa.array(blobs, pa.binary())], ["id", "text_key", "n", "sid", "cells"])
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sids, pa.int64()), pa.array(blobs, pa.binary())], ["id", "text_key", "n", "sid", "bits"])
 
         for b in batches:
-            sizes, sids = [], []
+            sizes, sids, maps = [], [], []
             for s in shingle_sets(b.column(2), width):
                 sizes.append(len(s))
                 sids.append(name := signature(s))
+                maps.append(parities(s) if len(s) else None)
                 if len(s) and name not in seen:  # copies in one task count once
                     seen.add(name)
                     np.add.at(sketch, (s >> np.uint64(64 - CELL_BITS)).astype(np.int64), 1)
-            yield batch(b.column(0), b.column(1), sizes, sids, [None] * len(sizes))
+            yield batch(b.column(0), b.column(1), sizes, sids, maps)
         if seen:
             for i in range(cells // piece):
                 part = sketch[i * piece : (i + 1) * piece]
@@ -120,7 +155,7 @@ def levels_of(total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def frequency_levels(summaries: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """levels_of all cells of the sketch."""
-    parts = summaries.where("n = -1").select(F.col("text_key").alias("slice"), "cells")
+    parts = summaries.where("n = -1").select(F.col("text_key").alias("slice"), F.col("bits").alias("cells"))
     total = np.zeros(1 << CELL_BITS, np.int64)
     merged = parts.repartition(16, "slice").mapInArrow(_merged_slices, "slice long, cells binary")
     for r in merged.toLocalIterator():  # 16 slices of 2^16 cells
@@ -205,10 +240,25 @@ def join_list(n: np.ndarray, pos: np.ndarray, sid: np.ndarray, num: int, den: in
     return [(int(sid[find(i)]), int(sid[i])) for i in range(len(n)) if find(i) != i]
 
 
-def _joined(num: int, den: int) -> Callable:
-    """Streams sorted postings; yields joins (a, b), and of salted lists one entry per size and position."""
-    names = ["a", "b", "h", "n", "pos", "sid"]
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
+def list_pairs(n: np.ndarray, pos: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of entries of one short index list, sorted by size, that can still reach their overlap."""
+    i, j = np.triu_indices(len(n), 1)
+    need = needed(n[i], n[j], num, den)
+    ok = (den * n[i] >= num * n[j]) & (n[i] - pos[i] >= need) & (n[j] - pos[j] >= need)
+    return i[ok], j[ok]
+
+
+def _joined(num: int, den: int, reduced: bool = False) -> Callable:
+    """Streams sorted postings; yields candidates (a, b), and entries of long and hot lists that have yet to meet.
+
+    Of hot lists one entry for each size and position is left, with which the others are
+    united; so are, in `reduced` lists, all entries that can still reach their overlap.
+    """
+    names = ["a", "b", "united", "h", "salt", "n", "pos", "sid"]
+    kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64())
+
+    def batch(*cols) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(cols, kinds, strict=True)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[np.ndarray] | None = None
@@ -218,31 +268,41 @@ def _joined(num: int, den: int) -> Callable:
             new = np.r_[True, (h[1:] != h[:-1]) | (salt[1:] != salt[:-1])]
             starts = np.flatnonzero(new)
             lengths = np.diff(np.r_[starts, len(h)])
-            edges: list[tuple[int, int]] = []
-            two = starts[lengths == 2]
-            if len(two):
-                small, large = n[two].astype(np.int64), n[two + 1].astype(np.int64)
-                need = needed(small, large, num, den)
-                ok = (den * small >= num * large) & (small - pos[two] >= need) & (large - pos[two + 1] >= need) & (sid[two] != sid[two + 1])
-                edges += zip(sid[two[ok]].tolist(), sid[two[ok] + 1].tolist(), strict=True)
-            forward: list[np.ndarray] = []
-            for s, k in zip(starts[lengths > 2].tolist(), lengths[lengths > 2].tolist(), strict=True):
-                edges += join_list(n[s : s + k].astype(np.int64), pos[s : s + k], sid[s : s + k], num, den)
-            salted = np.flatnonzero(salt > 0)
-            if len(salted):
-                first = new | np.r_[True, (n[1:] != n[:-1]) | (pos[1:] != pos[:-1])]
-                leader = np.maximum.accumulate(np.where(first, np.arange(len(h)), 0))
-                other = salted[leader[salted] != salted]
-                edges += zip(sid[leader[other]].tolist(), sid[other].tolist(), strict=True)
-                forward = [salted[first[salted]]]
-            if edges:
-                a, b = zip(*set(edges), strict=True)
-                none = [None] * len(a)
-                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip((a, b, none, none, none, none), kinds, strict=True)], names)
-            if forward:
-                at = forward[0]
+            pairs: set[tuple[int, int]] = set()
+            united: set[tuple[int, int]] = set()
+            later: list[np.ndarray] = []
+            plain = salt[starts] == 0
+            if reduced:
+                for s, k in zip(starts[lengths > 1].tolist(), lengths[lengths > 1].tolist(), strict=True):
+                    united.update(join_list(n[s : s + k].astype(np.int64), pos[s : s + k], sid[s : s + k], num, den))
+            else:
+                two = starts[plain & (lengths == 2)]
+                if len(two):
+                    small, large = n[two].astype(np.int64), n[two + 1].astype(np.int64)
+                    need = needed(small, large, num, den)
+                    ok = (den * small >= num * large) & (small - pos[two] >= need) & (large - pos[two + 1] >= need)
+                    pairs.update(zip(sid[two[ok]].tolist(), sid[two[ok] + 1].tolist(), strict=True))
+                short = plain & (lengths > 2) & (lengths <= LONG)
+                for s, k in zip(starts[short].tolist(), lengths[short].tolist(), strict=True):
+                    i, j = list_pairs(n[s : s + k].astype(np.int64), pos[s : s + k], num, den)
+                    pairs.update(zip(sid[s + i].tolist(), sid[s + j].tolist(), strict=True))
+                long = np.repeat(plain & (lengths > LONG), lengths)
+                if long.any():
+                    later.append(np.flatnonzero(long))
+                salted = np.flatnonzero(salt > 0)
+                if len(salted):
+                    first = new | np.r_[True, (n[1:] != n[:-1]) | (pos[1:] != pos[:-1])]
+                    leader = np.maximum.accumulate(np.where(first, np.arange(len(h)), 0))
+                    other = salted[leader[salted] != salted]
+                    united.update(zip(sid[leader[other]].tolist(), sid[other].tolist(), strict=True))
+                    later.append(salted[first[salted]])
+            for edges, together in ((pairs, False), (united, True)):
+                if edges := [(min(e), max(e)) for e in edges if e[0] != e[1]]:
+                    none = [None] * len(edges)
+                    yield batch(*zip(*edges, strict=True), [together] * len(edges), *[none] * 5)
+            for at in later:
                 none = [None] * len(at)
-                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip((none, none, h[at], n[at], pos[at], sid[at]), kinds, strict=True)], names)
+                yield batch(none, none, none, h[at], salt[at], n[at], pos[at], sid[at])
 
         for b in batches:
             cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
@@ -261,17 +321,90 @@ def _joined(num: int, den: int) -> Callable:
     return run
 
 
-def clusters(texts: DataFrame, levels: np.ndarray, hot: np.ndarray, width: int, num: int, den: int, name: str) -> DataFrame:
-    """(sid, cluster) of the sets that may link with another."""
+def _close(num: int, den: int) -> Callable:
+    """Of pairs (a, b, na, nb, ma, mb) those whose parity maps let them link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            na, nb = (b.column(i).to_numpy().astype(np.int64) for i in (2, 3))
+            ma, mb = (b.column(i).to_pylist() for i in (4, 5))
+            kind = np.array([len(x) << 32 | len(y) for x, y in zip(ma, mb, strict=True)], np.int64)
+            keep = np.zeros(len(kind), bool)
+            for k in np.unique(kind).tolist():
+                at = np.flatnonzero(kind == k)
+                for part in np.array_split(at, -(-len(at) * (k >> 32) // (8 << 20)) or 1):
+                    keep[part] = may_link(na[part], _maps([ma[i] for i in part]), nb[part], _maps([mb[i] for i in part]), num, den)
+            if keep.any():
+                yield b.select(["a", "b"]).filter(pa.array(keep))
+
+    return run
+
+
+def meet_list(n: np.ndarray, pos: np.ndarray, sid: list[int], blobs: list[bytes], num: int, den: int) -> list[tuple[int, int]]:
+    """Candidates of one index list, sorted by size, that connect what its pairs of candidates connect."""
+    size = np.array([len(x) for x in blobs])
+    maps = {k: _maps([x for x in blobs if len(x) == k]) for k in set(size.tolist())}
+    index = np.zeros(len(n), np.int64)
+    for k in maps:
+        index[size == k] = np.arange((size == k).sum())
+    root, edges = np.arange(len(n)), []
+    for y in range(1, len(n)):
+        low = int(np.searchsorted(n, -(-num * int(n[y]) // den)))
+        need = needed(n[low:y], n[y], num, den)
+        ok = (n[low:y] - pos[low:y] >= need) & (n[y] - pos[y] >= need)
+        xs = low + np.flatnonzero(ok)
+        own = maps[int(size[y])][index[y]][None, :]
+        for k in np.unique(size[xs]).tolist():
+            at = xs[size[xs] == k]
+            at = at[may_link(n[at], maps[k][index[at]], n[y], own, num, den)]
+            for r in np.unique(root[at]).tolist():
+                edges.append((sid[int(at[root[at] == r][0])], sid[y]))
+                root[root == r] = root[y]
+    return edges
+
+
+def _met(num: int, den: int) -> Callable:
+    """Streams (h, n, pos, sid, bits) sorted by h and n; yields the candidates (a, b) of each list."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def edges() -> pa.RecordBatch:
+            _, n, pos, sid, blobs = zip(*held, strict=True)
+            found = meet_list(np.array(n, np.int64), np.array(pos, np.int64), list(sid), list(blobs), num, den)
+            return pa.RecordBatch.from_arrays([pa.array([f(e) for e in found], pa.int64()) for f in (min, max)], ["a", "b"])
+
+        for b in batches:
+            for row in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                if held and row[0] != held[0][0]:
+                    yield edges()
+                    held = []
+                held.append(row)
+        if held:
+            yield edges()
+
+    return run
+
+
+def clusters(texts: DataFrame, maps: DataFrame, levels: np.ndarray, hot: np.ndarray, width: int, num: int, den: int, name: str) -> DataFrame:
+    """(sid, cluster) of the sets that may link with another; maps: (sid, n, bits) of all sets."""
     postings = texts.select("text").mapInArrow(_postings(levels, hot, width, num, den), "h long, salt int, n int, pos int, sid long")
-    kinds = "a long, b long, h long, n int, pos int, sid long"
+    kinds = "a long, b long, united boolean, h long, salt int, n int, pos int, sid long"
     sort = ["h", "salt", "n", "pos", "sid"]
     first = stored(postings.repartition("h", "salt").sortWithinPartitions(*sort).mapInArrow(_joined(num, den), kinds), f"{name}-joins")
-    edges = first.where("a is not null").select("a", "b")
+    # both sides of these joins grow with the corpus and are shuffled, whatever the size
+    pairs = stored(first.where("not united").select("a", "b").distinct(), f"{name}-pairs")
+    side = lambda c: maps.select(F.col("sid").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"m{c}"))
+    both = pairs.hint("merge").join(side("a"), "a").hint("merge").join(side("b"), "b")
+    edges = stored(both.select("a", "b", "na", "nb", "ma", "mb").mapInArrow(_close(num, den), "a long, b long"), f"{name}-close")
+    # an entry is there once for each task that met its set
+    entries = first.where("salt = 0").select("h", "pos", "sid").distinct()
+    long = entries.hint("merge").join(maps, "sid").select("h", "n", "pos", "sid", "bits").repartition("h").sortWithinPartitions("h", "n", "pos", "sid")
+    edges = edges.union(stored(long.mapInArrow(_met(num, den), "a long, b long"), f"{name}-met"))
     if hot.any():
-        again = first.where("h is not null").select("h", F.lit(0).alias("salt"), "n", "pos", "sid")
-        second = again.repartition("h").sortWithinPartitions(*sort).mapInArrow(_joined(num, den), kinds)
-        edges = edges.union(second.where("a is not null").select("a", "b"))
+        again = first.where("salt > 0").select("h", F.lit(0).alias("salt"), "n", "pos", "sid")
+        second = again.repartition("h").sortWithinPartitions(*sort).mapInArrow(_joined(num, den, reduced=True), kinds)
+        edges = edges.union(first.where("united").select("a", "b")).union(second.where("united").select("a", "b"))
     return components(edges, f"{name}-clusters").select(F.col("node").alias("sid"), F.col("label").alias("cluster"))
 
 
@@ -367,10 +500,11 @@ def first_of_component(docs: DataFrame, width: int = 5, num: int = 80, den: int
     small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     keyed = texts.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    summary = stored(keyed.mapInArrow(_summaries(width), "id long, text_key long, n long, sid long, cells binary"), f"{name}-sets")
+    summary = stored(keyed.mapInArrow(_summaries(width), "id long, text_key long, n long, sid long, bits binary"), f"{name}-sets")
     rows = summary.where("n >= 0").select(F.col("id").alias("doc_id"), "text_key", "n", "sid")
     levels, hot = frequency_levels(summary)
-    member = clusters(texts, levels, hot, width, num, den, name)
+    maps = stored(summary.where("n > 0").groupBy("sid").agg(F.first("n").alias("n"), F.first("bits").alias("bits")), f"{name}-maps")
+    member = clusters(texts, maps, levels, hot, width, num, den, name)
 
     # one row of each set that is in a cluster, and its block
     sets = rows.where("n > 0").groupBy("sid").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("r"), F.first("n").alias("n"))

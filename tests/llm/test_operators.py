@@ -263,6 +263,54 @@ def test_percolating_clusters(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in got} == dict(enumerate(want)) and len(set(want)) < len(texts)
 
 
+def passage_texts():
+    """200 texts of rare passages that hang all together, no two of them near to linking, and five near copies at the end."""
+    rng = random.Random(5)
+    passages = [[f"p{j}x{i}" for i in range(30)] for j in range(60)]
+    texts = [" ".join(w for j in rng.sample(range(60), 6) for w in passages[j]) for _ in range(200)]
+    return texts + [t.replace(t.split()[7], "other") for t in texts[:5]]
+
+
+@pytest.mark.parametrize("long", [2, 16])
+def test_shared_passages_make_no_cluster(spark, monkeypatch, long):
+    """Texts are stored and compared only where they nearly link; a cluster of all of them met itself again and again on disk."""
+    tables, made = {}, jaccard.stored
+
+    def noted(df, name):
+        tables[name] = made(df, name)
+        return tables[name]
+
+    monkeypatch.setattr(jaccard, "stored", noted)
+    monkeypatch.setattr(jaccard, "BLOCK", 6)
+    monkeypatch.setattr(jaccard, "LONG", long, raising=False)
+    texts = passage_texts()
+    got = jaccard.set_components(make_docs(spark, [(i, t, None, None) for i, t in enumerate(texts)]), 4, 85, 100).collect()
+    _, want = brute_jaccard(texts, list(range(len(texts))), 4, 85, 100)
+    assert {r.doc_id: r.component_id for r in got} == dict(enumerate(want)) and want[200:] == list(range(5))
+    assert tables["jaccard-texts"].count() <= 20 and "jaccard-links-3" not in tables
+
+
+def test_parity_maps_lose_no_link():
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 1 << 63, 700).astype(np.uint64)
+    sets = [np.unique(np.r_[rng.permutation(base)[: rng.integers(400, 700)], rng.integers(0, 1 << 63, rng.integers(0, 90)).astype(np.uint64)]) for _ in range(60)]
+    sets += [np.unique(rng.integers(0, 1 << 63, k).astype(np.uint64)) for k in (1, 2, 63, 64, 65, 500, 513, 600)]
+    sets.sort(key=len)
+    n, blobs = np.array([len(x) for x in sets]), [jaccard.parities(x) for x in sets]
+    linked, close = [], []
+    for j in range(len(sets)):
+        for i in range(j):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if 100 * both >= 80 * (n[i] + n[j] - both):
+                linked.append((i, j))
+            # the list's sizes are cut first
+            if 100 * n[i] >= 80 * n[j] and jaccard.may_link(n[i : i + 1], jaccard._maps([blobs[i]]), n[j], jaccard._maps([blobs[j]]), 80, 100).all():
+                close.append((i, j))
+    assert linked and set(linked) <= set(close) and len(close) < len(sets) ** 2 / 4
+    met = jaccard.meet_list(n, np.zeros(len(n), np.int64), list(range(len(n))), blobs, 80, 100)
+    assert brute_components(met, list(range(len(n)))) == brute_components(close, list(range(len(n))))
+
+
 def test_levels_stand_out_of_a_large_corpus():
     """Cells that are all full still tell frequent shingles apart."""
     total = np.random.default_rng(0).poisson(1_000_000, 4096)
