@@ -7,8 +7,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
-from mixlode.llm import langid, mixing
-from tests.llm.test_operators import best_fit, brute_jaccard, check_packed, make_docs, near_copies, plain_decode
+from mixlode.llm import jaccard, langid, mixing
+from tests.llm.test_operators import best_fit, brute_jaccard, check_packed, make_docs, near_copies, passage_texts, plain_decode
 
 SF = "/root/testdata/sf0.001"
 
@@ -29,6 +29,17 @@ def test_stages_keep_columns_and_decide(spark):
     check_packed(pipeline.pack(spark, mixed, SF).collect(), 2048)
 
 
+def test_near_duplicates_with_shared_passages(spark, monkeypatch):
+    """A corpus whose texts share passages is not one cluster whose texts meet on disk."""
+    names, made = [], jaccard.stored
+    monkeypatch.setattr(jaccard, "stored", lambda df, name: (names.append(name), made(df, name))[1])
+    monkeypatch.setattr(jaccard, "BLOCK", 6)
+    docs = make_docs(spark, [(i, t, "en", "s") for i, t in enumerate(passage_texts())])
+    kept = pipeline.near_duplicates(spark, docs, SF)
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(200))
+    assert "pipeline-jaccard-texts" in names and "pipeline-jaccard-links-3" not in names
+
+
 def test_language_stage_by_hand(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = langid.trained(docs)
