@@ -6,11 +6,11 @@ last return the columns of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mixlode.llm import jaccard, langid, mixing, packing
-from mixlode.llm.common import key_bits, selected, small_batches, stored
+from mixlode.llm.common import sides, small_batches, stored, told
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,34 +32,58 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     A document is known by its id and its text's hash, so that null ids, and rows that
     repeat an id with another text, stand for themselves.  Rows equal in both are one
     document, and the row that orders first stays; texts without words are in no group
-    and all stay.  Only texts that a filter of the decisions' keys lets through are shuffled.
+    and all stay.  Filters of the decisions' keys tell what stays from what goes; only
+    texts of which they are not sure, and those of repeated rows, are shuffled.
     """
-    found = stored(jaccard.first_of_component(docs, width=5, num=80, den=100, name="pipeline-jaccard").where("n_shingles > 0"), "pipeline-groups")
+    found = stored(jaccard.first_of_component(docs, width=5, num=80, den=100, name="pipeline-jaccard"), "pipeline-groups")
     own = F.expr("doc_id <=> component_id and text_key = component_key")
-    # narrow: what goes, and what is there more than once
-    verdicts = stored(found.groupBy("doc_id", "text_key").agg(F.first(own).alias("first"), F.count(F.lit(1)).alias("n")).where("not first or n > 1").select("doc_id", "text_key", "first"), "pipeline-verdicts")
-    keyed = docs.select(F.xxhash64("text").alias("key"), F.struct("*").alias("r"))
-    bits = key_bits(verdicts.select("text_key"))
-    through, rest = selected(keyed, bits), selected(keyed, bits, through=False)
-    decided = through.join(verdicts.hint("merge"), F.col("r.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("text_key")), "left")
-    once = decided.where("first").groupBy("r.doc_id", "key").agg(F.min("r").alias("r"))
-    return rest.select("r.*").unionByName(decided.where("first is null").select("r.*")).unionByName(once.select("r.*"))
+    same = found.groupBy("doc_id", "text_key").agg(F.when(F.max("n_shingles") > 0, F.struct(F.first(own).alias("first"), F.count(F.lit(1)).alias("n"))).alias("v"))
+    # narrow: of each document whether it stays, and how many rows it has; texts without words stay with all theirs
+    verdicts = stored(same.select("doc_id", "text_key", F.xxhash64("doc_id", "text_key").alias("key"), F.coalesce("v.first", F.lit(True)).alias("first"), F.coalesce("v.n", F.lit(1)).alias("n")), "pipeline-verdicts")
+    filters = sides(verdicts.where("not first or n > 1"), verdicts.where("first"), "pipeline-verdicts")
+    keyed = docs.select(F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("key"), F.struct("*").alias("r"))
+    unsure = told(keyed, filters, sure=False).select(F.xxhash64("r.text").alias("t"), "r")
+    least = told(verdicts, filters, sure=False).drop("key", "told").hint("merge")
+    decided = unsure.join(least, F.col("r.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("t") == F.col("text_key"))).where("first").select("t", "r", "n")
+    once = decided.where("n > 1").groupBy("r.doc_id", "t").agg(F.min("r").alias("r"))
+    return told(keyed, filters).where("not told").select("r.*").unionByName(decided.where("n = 1").select("r.*")).unionByName(once.select("r.*"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats each document as often as the mix takes it; the last, partial pass takes it whole from its middle on.
 
     Null ids and repeated rows are rows of their own; texts without words have no size,
-    and the mix takes none of them.  The plan reads narrow keys; the documents are not
-    shuffled but for the few at which a source's budget ends.
+    and the mix takes none of them.  The plan reads narrow keys.  Where labels are too
+    many for a broadcast, filters of the rows that the last pass takes tell these from the
+    others; only documents of which they are not sure, and those at which a source's
+    budget ends, are shuffled.
     """
+    small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    sized = mixing.with_quality(docs.select("doc_id", "source", "text", F.struct("*").alias("r")), labels)
-    rows = sized.select("doc_id", "source", "size", mixing.sampling_key(2).alias("key"), "r")
-    shares = mixing.plan(stored(rows.select("source", "size", "key"), "pipeline-mix-keys"))
-    times = F.when(F.col("size") > 0, F.col("epochs") + (F.col("part") > 0).cast("long")).otherwise(0).cast("int")
-    taken = mixing.taken(rows, shares, cut=False).select("r", times.alias("times")).where("times > 0")
-    return taken.select("r", F.explode(F.sequence(F.lit(1), F.col("times")))).select("r.*")
+
+    def rows_of(df: DataFrame) -> DataFrame:
+        sized = mixing.with_quality(df, labels)
+        return sized.select("doc_id", "source", "size", mixing.sampling_key(2).alias("key"), *[c for c in df.columns if c == "r"])
+
+    def times(last: Column) -> Column:
+        return F.when(F.col("size") > 0, F.col("epochs") + last.cast("long")).otherwise(0).cast("int").alias("times")
+
+    # what a row's passes depend on
+    row_key = F.xxhash64("doc_id", "source", "size")
+    whole = docs.select("doc_id", "source", "text", F.struct("*").alias("r"))
+    keys = stored(rows_of(docs.select("doc_id", "source", "text")).select("source", "size", "key", row_key.alias("row_key")), "pipeline-mix-keys")
+    shares = mixing.plan(keys)
+    if not shares or labels.count() <= mixing.SMALL_LABELS:
+        taken = mixing.taken(rows_of(whole), shares, cut=False).select("r", times(F.col("part") > 0))
+    else:
+        filters = sides(*[df.select(F.col("row_key").alias("key")) for df in mixing.around_edges(keys, shares)], "pipeline-mix")
+        keyed = whole.withColumn("size", mixing.n_words()).select(row_key.alias("key"), "source", "size", "r")
+        passes = spark.createDataFrame([(s.source, s.epochs) for s in shares], "__s string, epochs long")
+        # one row a source
+        sure = told(keyed, filters).join(F.broadcast(passes), F.col("source").eqNullSafe(F.col("__s"))).select("r", times(F.col("told")))
+        rest = rows_of(told(keyed, filters, sure=False).select("r.doc_id", "r.source", "r.text", "r"))
+        taken = sure.unionByName(mixing.taken(rest, shares, cut=False).select("r", times(F.col("part") > 0)))
+    return taken.where("times > 0").select("r", F.explode(F.sequence(F.lit(1), F.col("times")))).select("r.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

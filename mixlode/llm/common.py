@@ -10,10 +10,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 #: Where scratch tables go if the session names no folder: within Spark's warehouse, which a cluster shares too.
 _OWN = "mixlode-scratch"
+#: Deletes a query's shuffle files when it ends, not when the driver's garbage is collected.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _made: list[tuple[SparkSession, str]] = []
 
 
@@ -37,7 +40,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
     _made.append((spark, path))
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -143,6 +151,30 @@ def selected(keyed: DataFrame, bits: np.ndarray, through: bool = True, once: lis
     return keyed.mapInArrow(run, keyed.schema)
 
 
+def sides(yes: DataFrame, no: DataFrame, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """Filters that tell rows of keys (64-bit column `key`) in `yes` from rows of keys in `no`: of yes, and of what that one lets through of no."""
+    first = key_bits(yes.select("key"))
+    return first, key_bits(stored(selected(no.select("key"), first), f"{name}-beside"))
+
+
+def told(keyed: DataFrame, filters: tuple[np.ndarray, np.ndarray], sure: bool = True) -> DataFrame:
+    """Adds `told` to the rows of keyed whose side the filters are sure of, whether it is yes; or (sure=False) gives the others; map-only.
+
+    Sure is what either filter stops, if every key is in yes or no; a key in both is never sure.
+    """
+    at = keyed.columns.index("key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = b.column(at).to_numpy(zero_copy_only=False)
+            yes = passing(filters[0], keys)
+            mask = (yes & passing(filters[1], keys)) != sure
+            if mask.any():
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(yes)], [*b.schema.names, "told"]).filter(pa.array(mask))
+
+    return keyed.mapInArrow(run, T.StructType([*keyed.schema.fields, T.StructField("told", T.BooleanType())]))
+
+
 #: Edges that one task unites at the end; more are contracted first.
 FINISH = 500_000
 

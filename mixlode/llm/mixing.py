@@ -107,6 +107,13 @@ def plan(keyed: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float
     return [replace(s, key=ranges[s.source][0], left=ranges[s.source][2], rows=ranges[s.source][3]) if s.source in ranges else s for s in shares]
 
 
+def around_edges(keyed: DataFrame, shares: list[Share]) -> tuple[DataFrame, DataFrame]:
+    """The rows of keyed (source, key, ...) up to the key at which their source's budget ends, and those from it on; rows at it are in both."""
+    bounds = keyed.sparkSession.createDataFrame([(s.source, s.key) for s in shares], "__s string, __edge double")
+    placed = keyed.join(F.broadcast(bounds), F.col("source").eqNullSafe(F.col("__s")))  # one row a source
+    return placed.where("key <= __edge").select(*keyed.columns), placed.where("__edge is null or key >= __edge").select(*keyed.columns)
+
+
 def taken(rows: DataFrame, shares: list[Share], cut: bool = True) -> DataFrame:
     """Adds source_size, target, epochs (complete passes) and part (words of one more, partial pass) to rows (source, size, key, ...).
 

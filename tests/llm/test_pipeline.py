@@ -2,12 +2,14 @@
 
 import collections
 import hashlib
+import os
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
-from mixlode.llm import jaccard, langid, mixing
+from mixlode.llm import common, jaccard, langid, mixing
 from tests.llm.test_operators import best_fit, brute_jaccard, check_packed, make_docs, near_copies, passage_texts, plain_decode
 
 SF = "/root/testdata/sf0.001"
@@ -87,6 +89,47 @@ def mixing_words(text):
     return re.findall(mixing.WORD, text or "")
 
 
+def test_few_documents_are_shuffled(spark, monkeypatch):
+    """Labels beyond a broadcast, and copies, do not make the stages shuffle whole documents; filters that let all through change no result."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(120)
+    docs = docs.unionByName(docs.withColumn("doc_id", F.col("doc_id") + 1_000_000)).unionByName(docs.where("doc_id < 5")).repartition(4, "doc_id")
+    rows = lambda df: sorted((r.doc_id, r.text or "", r.source) for r in df.collect())
+    all_rows = docs.collect()
+    _, components = brute_jaccard([r.text for r in all_rows], [r.doc_id for r in all_rows], 5, 80, 100)
+    kept, mixed = pipeline.near_duplicates(spark, docs, SF), rows(pipeline.mix(spark, docs, SF))
+    assert {r.doc_id for r in kept.where("text <> ''").collect()} <= set(components) and max(i for i, _, _ in rows(kept)) < 1_000_000
+    entered, made = [], mixing.with_quality
+    monkeypatch.setattr(mixing, "SMALL_LABELS", 0)
+    with monkeypatch.context() as m:
+        m.setattr(mixing, "with_quality", lambda df, labels: (entered.append(df.count() if "r" in df.columns else 0), made(df, labels))[1])
+        assert rows(pipeline.mix(spark, docs, SF)) == mixed
+    assert max(entered) < 0.2 * len(all_rows)
+    unsure, made_told = [], pipeline.told
+    with monkeypatch.context() as m:
+        m.setattr(pipeline, "told", lambda df, filters, sure=True: (unsure.append(0 if sure or "r" not in df.columns else made_told(df, filters, False).count()), made_told(df, filters, sure))[1])
+        assert rows(pipeline.near_duplicates(spark, docs, SF)) == rows(kept)
+    assert max(unsure) < 0.2 * len(all_rows)
+    monkeypatch.setattr(common, "PART_BITS", 4)
+    monkeypatch.setattr(common, "FILTER_BITS", 4)
+    assert rows(pipeline.near_duplicates(spark, docs, SF)) == rows(kept) and rows(pipeline.mix(spark, docs, SF)) == mixed
+
+
+def test_shuffle_files_go_with_their_query(spark):
+    """What a stored table was made of is off the disk before the next is made, and the session's setting is as before."""
+    switch = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(switch)
+    blocks = lambda: sum(len([f for f in names if f.startswith("shuffle_")]) for _, _, names in os.walk(root))
+    root = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()[0].getParent()
+    left = blocks()
+    for i in range(3):
+        common.stored(spark.range(1000).repartition(7, "id"), f"cleanup-{i}")
+    for _ in range(50):
+        if blocks() <= left:
+            break
+        time.sleep(0.2)
+    assert blocks() <= left and spark.conf.get(switch) == before
+
+
 def test_clashing_columns(spark):
     """Columns named like those that the stages make within are carried as they are."""
     names = ["r", "key", "text_key", "first", "times", "size", "quality", "part", "lang_pred", "score", "ambiguous", "d", "n", "col"]
